@@ -105,3 +105,33 @@ cust AS (
 
 def with_(*blocks: str) -> str:
     return "WITH " + ",".join(b.strip() for b in blocks) + "\n"
+
+ITEMCF = HOLDOUT + """,
+norms AS (SELECT StockCode, sqrt(CAST(sum(purchase_count * purchase_count) AS DOUBLE)) AS norm
+          FROM train GROUP BY StockCode),
+dots AS (SELECT a.StockCode AS item_i, b.StockCode AS item_j,
+                sum(CAST(a.purchase_count AS DOUBLE) * CAST(b.purchase_count AS DOUBLE)) AS dot
+         FROM train a JOIN train b ON a.CustomerID = b.CustomerID AND a.StockCode <> b.StockCode
+         GROUP BY 1, 2),
+sims AS (SELECT item_i, item_j, dot / (ni.norm * nj.norm) AS sim
+         FROM dots JOIN norms ni ON ni.StockCode = item_i JOIN norms nj ON nj.StockCode = item_j),
+nb AS (SELECT item_i, item_j, sim FROM (
+         SELECT *, rank() OVER (PARTITION BY item_i ORDER BY sim DESC) AS rk FROM sims) WHERE rk <= 20),
+sc AS (SELECT t.CustomerID, nb.item_j AS StockCode,
+              round(sum(CAST(t.purchase_count AS DOUBLE) * nb.sim), 9) AS score
+       FROM train t JOIN nb ON t.StockCode = nb.item_i GROUP BY 1, 2),
+unseen AS (SELECT * FROM sc WHERE NOT EXISTS (
+             SELECT 1 FROM train t WHERE t.CustomerID = sc.CustomerID AND t.StockCode = sc.StockCode)),
+recs AS (SELECT * FROM (
+           SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY score DESC, StockCode) AS rank
+           FROM unseen) WHERE rank <= 10),
+descs AS (SELECT StockCode, arg_max(description, CustomerID) AS Description FROM inter GROUP BY StockCode)"""
+
+REC_METRICS = """
+tu AS (SELECT CustomerID, count(*) AS n_true FROM test GROUP BY 1),
+h AS (SELECT r.CustomerID, count(*) AS hits FROM recs r JOIN test t
+        ON r.CustomerID = t.CustomerID AND r.StockCode = t.StockCode GROUP BY 1),
+pu AS (SELECT tu.CustomerID, coalesce(h.hits, 0) AS hits, n_true FROM tu LEFT JOIN h ON tu.CustomerID = h.CustomerID)
+SELECT round(avg(hits / 10.0), 6) AS precision_at_k, round(avg(hits / n_true), 6) AS recall_at_k,
+       round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS users_evaluated
+FROM pu"""

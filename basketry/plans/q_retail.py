@@ -289,3 +289,43 @@ ORDER BY CustomerID LIMIT 100""")
 def w10(spark, sf):
     """First 100 customers with >= 10 items."""
     return retail.active_customers(retail.holdout_split(inter(spark, sf))[0])
+
+
+# -- item-based collaborative filtering (flagship) ---------------------------
+
+from basketry.operators import evaluate, itemcf  # noqa: E402
+from basketry.plans.oracle_sql import ITEMCF, REC_METRICS  # noqa: E402
+
+
+def _split(spark, sf):
+    it = inter(spark, sf)
+    train, test = retail.holdout_split(it)
+    return it, train, test
+
+
+@register("M12_item_neighbours", with_(ITEMCF) + """
+SELECT item_i, item_j, round(sim, 9) AS sim FROM nb""")
+def m12_nb(spark, sf):
+    """Cosine neighbours, top 20 per item with ties."""
+    _, train, _ = _split(spark, sf)
+    nb = itemcf.top_neighbours(itemcf.item_similarity(train))
+    return nb.withColumn("sim", F.round("sim", 9))
+
+
+@register("M12_itemcf_recommendations", with_(ITEMCF) + """
+SELECT recs.CustomerID, recs.rank, recs.StockCode, recs.score,
+       coalesce(descs.Description, 'N/A') AS Description
+FROM recs LEFT JOIN descs ON recs.StockCode = descs.StockCode""")
+def m12_recs(spark, sf):
+    """Top-10 unseen items per user with descriptions."""
+    it, train, _ = _split(spark, sf)
+    recs = itemcf.recommend(train)
+    return (retail.with_description(recs, retail.item_descriptions(it))
+            .select("CustomerID", "rank", "StockCode", "score", "Description"))
+
+
+@register("E7_itemcf_metrics", with_(ITEMCF, REC_METRICS))
+def e7(spark, sf):
+    """Precision@10, Recall@10, Hit Rate, Users Evaluated for item-CF."""
+    _, train, test = _split(spark, sf)
+    return evaluate.recommendation_metrics(itemcf.recommend(train), test)
