@@ -135,3 +135,16 @@ pu AS (SELECT tu.CustomerID, coalesce(h.hits, 0) AS hits, n_true FROM tu LEFT JO
 SELECT round(avg(hits / 10.0), 6) AS precision_at_k, round(avg(hits / n_true), 6) AS recall_at_k,
        round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS users_evaluated
 FROM pu"""
+
+SPLIT = CUST + """,
+split AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY Churn
+                       ORDER BY md5(concat_ws('|', '42', customerID)), customerID)
+                   <= CAST(round(count(*) OVER (PARTITION BY Churn) * 0.2) AS BIGINT)
+                 THEN 'test' ELSE 'train' END AS split
+  FROM cust
+)"""
+
+# deterministic stand-in score in [0, 1): label-informed, md5-noised
+DEMO_SCORE_SQL = ("(CAST(0.3 AS DOUBLE) * Churn + CAST(0.7 AS DOUBLE) * "
+                  "(CAST(('0x' || substr(md5('score|' || customerID), 1, 8)) AS BIGINT) / 4294967296.0))")
