@@ -448,3 +448,200 @@ FROM lp GROUP BY customerID, label""")
 def e8(spark, sf):
     """Per-customer prediction of each model beside the label."""
     return evaluate.prediction_grid(long_preds(spark, sf), _MODELS)
+
+
+# -- stand-in cluster assignments: profiles and ladders ------------------------
+
+from basketry.operators import explain  # noqa: E402
+from basketry.plans.oracle_sql import TX as _TX  # noqa: E402
+
+
+def churn_given(spark, sf):
+    return cust(spark, sf).withColumn("cluster", given_cluster("customerID"))
+
+
+_CHURN_PROFILE_SQL = CUST + """,
+cp AS (SELECT CAST(CAST(customerID AS BIGINT) % 4 AS INTEGER) AS cluster, count(*) AS size,
+              avg(Churn) AS churn_rate, avg(tenure) AS avg_tenure, avg(MonthlyCharges) AS avg_monthly,
+              avg(TotalCharges) AS avg_total, avg(debt_flag) AS senior_pct
+       FROM cust GROUP BY 1)"""
+
+
+@register("A23_churn_cluster_profile", with_(_CHURN_PROFILE_SQL) + """
+SELECT cluster, size, round(churn_rate, 6) + 0.0 AS churn_rate, round(avg_tenure, 6) + 0.0 AS avg_tenure,
+       round(avg_monthly, 6) + 0.0 AS avg_monthly, round(avg_total, 6) + 0.0 AS avg_total,
+       round(senior_pct, 6) + 0.0 AS senior_pct,
+       CASE WHEN avg_tenure < 20 AND churn_rate > 0.3 THEN 'New & High-Risk'
+            WHEN avg_tenure > 40 AND churn_rate < 0.15 THEN 'Loyal Veterans'
+            WHEN avg_monthly > 70 AND churn_rate > 0.25 THEN 'Premium At-Risk'
+            WHEN avg_monthly < 40 THEN 'Budget Customers'
+            WHEN senior_pct > 0.3 THEN 'Senior Segment' ELSE 'Mid-Tier' END AS label
+FROM cp""")
+def a23(spark, sf):
+    """Churn cluster profile and segment label (given clusters)."""
+    return segments.churn_profile(churn_given(spark, sf))
+
+
+@register("W15_churn_extremes", with_(_CHURN_PROFILE_SQL) + """
+SELECT arg_min(cluster, (-churn_rate, cluster)) AS highest_churn_cluster,
+       arg_min(cluster, (churn_rate, cluster)) AS lowest_churn_cluster FROM cp""")
+def w15c(spark, sf):
+    """Highest / lowest churn cluster, first wins ties."""
+    p = churn_given(spark, sf).groupBy("cluster").agg(F.avg("Churn").alias("churn_rate"))
+    return segments.churn_extremes(p)
+
+
+def rfm_given(spark, sf):
+    from basketry.plans.q_retail import tx
+    return retail.rfm(tx(spark, sf)).withColumn("cluster", given_cluster("CustomerID"))
+
+
+_RFM_SQL = _TX + """,
+rfm AS (SELECT CustomerID,
+          (epoch_us((SELECT max(InvoiceDate) FROM tx) + INTERVAL 1 DAY) - epoch_us(max(InvoiceDate))) // 86400000000 AS Recency,
+          count(DISTINCT InvoiceNo) AS Frequency, CAST(sum(TotalPrice) AS DOUBLE) AS Monetary
+        FROM tx GROUP BY CustomerID),
+med AS (SELECT median(Recency) AS mr, median(Frequency) AS mf, median(Monetary) AS mm FROM rfm),
+rp AS (SELECT CAST(CustomerID % 4 AS INTEGER) AS cluster, count(*) AS size, avg(Recency) AS recency,
+              avg(Frequency) AS frequency, avg(Monetary) AS monetary FROM rfm GROUP BY 1)"""
+
+
+@register("A24_rfm_cluster_profile", with_(_RFM_SQL) + """
+SELECT cluster, size, round(recency, 6) + 0.0 AS recency, round(frequency, 6) + 0.0 AS frequency,
+       round(monetary, 6) + 0.0 AS monetary,
+       CASE WHEN frequency > mf * 2 AND monetary > mm * 2 THEN 'VIP / Champions'
+            WHEN recency > mr * 1.5 AND frequency > mf THEN 'At-Risk (were active)'
+            WHEN frequency <= 2 AND monetary < mm THEN 'One-Timers'
+            WHEN recency < mr AND frequency > mf THEN 'Loyal Regulars'
+            WHEN monetary > mm THEN 'Big Spenders' ELSE 'Casual Shoppers' END AS label
+FROM rp, med""")
+def a24(spark, sf):
+    """RFM cluster profile and segment label (given clusters)."""
+    return segments.rfm_profile(rfm_given(spark, sf))
+
+
+@register("W15_rfm_extremes", with_(_RFM_SQL) + """
+SELECT arg_min(cluster, (-monetary, cluster)) AS most_valuable_cluster,
+       arg_min(cluster, (-recency, cluster)) AS highest_risk_cluster FROM rp""")
+def w15r(spark, sf):
+    """Most valuable and most dormant RFM cluster."""
+    r = rfm_given(spark, sf)
+    p = r.groupBy("cluster").agg(F.avg("Monetary").alias("monetary"), F.avg("Recency").alias("recency"))
+    return segments.rfm_extremes(p)
+
+
+_SEG = segments.CHURN_SEGMENT_FEATURES
+_Z = ", ".join(f"CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) OVER () = 0 THEN 0.0 ELSE "
+               f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_pop(CAST({c} AS DOUBLE)) OVER () END AS {c}"
+               for c in _SEG)
+_CENTROID_SQL = CUST + f""",
+z AS (SELECT CAST(CAST(customerID AS BIGINT) % 4 AS INTEGER) AS cluster, {_Z} FROM cust),
+cz AS (SELECT cluster, {", ".join(f"avg({c}) AS {c}" for c in _SEG)} FROM z GROUP BY cluster)"""
+
+
+def _centroids_given(spark, sf):
+    c = churn_given(spark, sf)
+    return c, segments.member_means(segments.scaled_vectors(c, _SEG), _SEG)
+
+
+@register("M7_centroids_given", with_(_CENTROID_SQL) + "SELECT cluster, " + ", ".join(
+    f"round({c}, 6) + 0.0 AS {c}" for c in _SEG) + " FROM cz")
+def m7(spark, sf):
+    """M7: scaled-space centroids as member means (given clusters)."""
+    return _centroids_given(spark, sf)[1]
+
+
+@register("F7_centroids_original", with_(_CENTROID_SQL) + "SELECT cluster, " + ", ".join(
+    f"round(round({c}, 6) * (SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM cust) + "
+    f"(SELECT avg(CAST({c} AS DOUBLE)) FROM cust), 2) + 0.0 AS {c}" for c in _SEG) + " FROM cz")
+def f7(spark, sf):
+    """centroids back in original units, rounded to 2."""
+    c, cz = _centroids_given(spark, sf)
+    return features.inverse_scale(cz, c, _SEG)
+
+
+# -- explanation read-outs over linear attributions ----------------------------
+
+_UNIT_W = [1.0, 1.0, 1.0, 1.0]
+_CONTRIB_SQL = SPLIT + """,
+te AS (SELECT * FROM split WHERE split = 'test'),
+contrib AS (""" + " UNION ALL ".join(
+    f"SELECT customerID, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, "
+    f"1.0 * (CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM te)) AS contribution FROM te"
+    for c in NUMERIC_COLS) + ")"
+
+
+def contributions(spark, sf):
+    te = split(spark, sf).filter(F.col("split") == "test")
+    return explain.linear_contributions(te, "customerID", NUMERIC_COLS, _UNIT_W, 0.0)
+
+
+@register("E10_global_importance", with_(_CONTRIB_SQL) + """
+SELECT feature, round(avg(abs(contribution)), 6) + 0.0 AS mean_abs FROM contrib
+GROUP BY feature ORDER BY mean_abs DESC, feature LIMIT 15""")
+def e10(spark, sf):
+    """Mean |contribution| per feature (unit-weight linear scorer)."""
+    return explain.global_importance(contributions(spark, sf))
+
+
+@register("E11_contribution_spread", with_(_CONTRIB_SQL) + """
+SELECT feature, round(quantile_cont(contribution, 0.25), 6) + 0.0 AS p25,
+       round(median(contribution), 6) + 0.0 AS median, round(quantile_cont(contribution, 0.75), 6) + 0.0 AS p75,
+       round(min(contribution), 6) + 0.0 AS min, round(max(contribution), 6) + 0.0 AS max,
+       round(avg(value), 6) + 0.0 AS mean_value
+FROM contrib GROUP BY feature""")
+def e11(spark, sf):
+    """Contribution quartiles per feature."""
+    return explain.contribution_spread(contributions(spark, sf))
+
+
+@register("E12_waterfall", with_(_CONTRIB_SQL) + """,
+one AS (SELECT * FROM contrib WHERE customerID = (SELECT min(customerID) FROM te)),
+rk AS (SELECT *, row_number() OVER (ORDER BY abs(contribution) DESC, feature) AS rank FROM one)
+SELECT customerID, feature, round(contribution, 6) + 0.0 AS contribution, rank FROM rk WHERE rank <= 3
+UNION ALL
+SELECT any_value(customerID), 'other features', round(sum(contribution), 6) + 0.0, 4 FROM rk WHERE rank > 3""")
+def e12(spark, sf):
+    """Waterfall of the first test customer: top 3 + remainder."""
+    te = split(spark, sf).filter(F.col("split") == "test")
+    first = te.select(F.min("customerID")).scalar()
+    c = contributions(spark, sf).filter(F.col("customerID") == first)
+    return explain.waterfall(c, "customerID", top=3)
+
+
+# -- run read-outs over the monthly growth history -----------------------------
+
+_GROWTH_SQL = _TX + """,
+fu AS (SELECT CustomerID, min(CAST(date_trunc('month', InvoiceDate) AS DATE)) AS month FROM tx GROUP BY 1),
+fp AS (SELECT CustomerID, StockCode, min(CAST(date_trunc('month', InvoiceDate) AS DATE)) AS month FROM tx GROUP BY 1, 2),
+m AS (SELECT DISTINCT CAST(date_trunc('month', InvoiceDate) AS DATE) AS month FROM tx),
+j AS (SELECT m.month, (SELECT count(*) FROM fu WHERE fu.month = m.month) AS new_users,
+             (SELECT count(*) FROM fp WHERE fp.month = m.month) AS new_interactions FROM m),
+g AS (SELECT month, CAST(sum(new_users) OVER (ORDER BY month) AS DOUBLE) AS active_users,
+             CAST(sum(new_interactions) OVER (ORDER BY month) AS DOUBLE) AS interactions FROM j)"""
+
+
+def growth(spark, sf):
+    from basketry.plans.q_retail import tx
+    return (retail.monthly_growth(tx(spark, sf))
+            .select("month", F.col("active_users").cast("double").alias("active_users"),
+                    F.col("interactions").cast("double").alias("interactions")))
+
+
+@register("W11_monthly_deltas", with_(_GROWTH_SQL) + """
+SELECT month, active_users, interactions,
+       round(active_users - lag(active_users) OVER (ORDER BY month), 6) AS active_users_delta,
+       round(interactions - lag(interactions) OVER (ORDER BY month), 6) AS interactions_delta FROM g""")
+def w11(spark, sf):
+    """Change against the previous step of a metric history."""
+    return evaluate.metric_deltas(growth(spark, sf), "month", ["active_users", "interactions"])
+
+
+@register("E13_growth_readout", with_(_GROWTH_SQL) + """
+SELECT arg_min(active_users, month) AS active_users_initial, arg_max(active_users, month) AS active_users_final,
+       arg_min(interactions, month) AS interactions_initial, arg_max(interactions, month) AS interactions_final,
+       round(arg_max(active_users, month) - arg_min(active_users, month), 6) AS active_users_change,
+       round(arg_max(interactions, month) - arg_min(interactions, month), 6) AS interactions_change FROM g""")
+def e13(spark, sf):
+    """Initial, final and change over a metric history."""
+    return evaluate.run_readout(growth(spark, sf), "month", ["active_users", "interactions"])
