@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # local mode runs everything in the driver JVM; on a cluster the
+    # deployment sets executor memory instead
+    "spark.driver.memory": "16g",
 }
 
 
