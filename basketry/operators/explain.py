@@ -25,7 +25,8 @@ def linear_contributions(df: DataFrame, id_col: str, columns: Sequence[str],
     """Long table (id, feature, value, contribution, base, margin).
     ``means`` defaults to the column means of ``df`` (scalar subqueries)."""
     src = means if means is not None else df
-    mean_vals = {c: src.select(F.avg(F.col(c).cast("double"))).scalar() for c in columns}
+    row = src.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
+    mean_vals = {c: F.lit(row[f"m_{i}"]) for i, c in enumerate(columns)}
     base = F.lit(float(intercept))
     for c, w in zip(columns, weights):
         base = base + F.lit(float(w)) * mean_vals[c]

@@ -111,10 +111,11 @@ def demo_picks(split: DataFrame, n_churned: int = 3, n_retained: int = 2) -> Dat
 def inverse_scale(centroids: DataFrame, stats_src: DataFrame, columns: Sequence[str],
                   digits: int = 2) -> DataFrame:
     """scaled centroid coordinates back to original units, rounded."""
+    from basketry.operators.stats import column_stats
+    st = column_stats(stats_src, columns)
     out = []
     for c in columns:
-        mean = stats_src.select(F.avg(F.col(c).cast("double"))).scalar()
-        std = stats_src.select(F.stddev_pop(F.col(c).cast("double"))).scalar()
+        mean, std = F.lit(st[c][0]), F.lit(st[c][1])
         out.append((F.round(F.col(c) * std + mean, digits) + F.lit(0.0)).alias(c))
     return centroids.select("cluster", *out)
 

@@ -29,10 +29,11 @@ def _r(c, d=6):
 def scaled_vectors(df: DataFrame, columns: Sequence[str], out: str = "scaled") -> DataFrame:
     """Standard scaling with the population std (as the reference's scaler),
     built from one aggregate; the result is an ML vector column."""
+    from basketry.operators.stats import column_stats
+    st = column_stats(df, columns)
     exprs = []
     for c in columns:
-        mean = df.select(F.avg(F.col(c).cast("double"))).scalar()
-        std = df.select(F.stddev_pop(F.col(c).cast("double"))).scalar()
+        mean, std = F.lit(st[c][0]), F.lit(st[c][1])
         exprs.append(F.when(std == 0, F.lit(0.0)).otherwise((F.col(c) - mean) / std).alias(f"__z_{c}"))
     z = df.select("*", *exprs)
     asm = VectorAssembler(inputCols=[f"__z_{c}" for c in columns], outputCol=out)

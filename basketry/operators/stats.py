@@ -75,15 +75,25 @@ def standardize(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     """(x - mean) / population std, statistics from ``fit_on``
     (default: ``df`` itself).  A zero std leaves the centred value."""
     src = fit_on if fit_on is not None else df
+    st = column_stats(src, columns)
     out = []
     for c in columns:
-        mean = src.select(F.avg(F.col(c).cast("double"))).scalar()
-        std = src.select(F.stddev_pop(F.col(c).cast("double"))).scalar()
+        mean, std = F.lit(st[c][0]), F.lit(st[c][1])
         out.append(F.when(std == 0, F.col(c) - mean)
                     .otherwise((F.col(c) - mean) / std).alias(c))
     return df.select(*keep, *out)
 
 
+def column_stats(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Mean and population std of each column from ONE distributed
+    aggregate; the result (2 numbers per column) comes back as literals.
+    One aggregate instead of a scalar subquery per statistic keeps the plan
+    from embedding the upstream plan 2k times."""
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(columns)],
+                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(columns)]).first()
+    return {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(columns)}
+
+
 def scaling_histograms(customers: DataFrame, column: str = "TotalCharges", bins: int = 40) -> DataFrame:
     """Histogram of a column before and after standard scaling."""
     scaled = standardize(customers, [column])
