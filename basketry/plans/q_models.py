@@ -138,9 +138,8 @@ def m6(spark, sf):
 # -- recommenders ----------------------------------------------------------------
 
 def _rec_split(spark, sf):
-    it = inter(spark, sf)
-    train, test = retail.holdout_split(it)
-    return it, train.persist(), test.persist()
+    from basketry.plans.q_retail import _split
+    return _split(spark, sf)
 
 
 def _with_desc(recs, it):

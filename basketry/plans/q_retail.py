@@ -298,9 +298,13 @@ from basketry.plans.oracle_sql import ITEMCF, REC_METRICS  # noqa: E402
 
 
 def _split(spark, sf):
-    it = inter(spark, sf)
+    """Interactions and their hold-out split, each written once: every
+    later step (co-occurrence, norms, scoring, masking, metrics) reads the
+    stage tables instead of re-running scan + joins + split."""
+    from basketry.session import stage
+    it = stage(inter(spark, sf))
     train, test = retail.holdout_split(it)
-    return it, train, test
+    return it, stage(train), stage(test)
 
 
 @register("M12_item_neighbours", with_(ITEMCF) + """

@@ -69,3 +69,11 @@ def ensure_dir(path: str) -> str:
     if is_local_path(path):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path
+
+
+def stage(df):
+    """Materialise a DataFrame that several later steps read: a reliable
+    checkpoint in the shared checkpoint folder (cuts the lineage, survives
+    executor loss, is read back with its partitioning)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
