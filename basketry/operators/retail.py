@@ -35,6 +35,16 @@ def item_descriptions(inter: DataFrame) -> DataFrame:
     return inter.groupBy(ITEM).agg(F.max_by("description", USER).alias("Description"))
 
 
+def item_descriptions_from_lines(tx: DataFrame) -> DataFrame:
+    """A16 straight from invoice lines, without the per-pair description:
+    per item, the row of the highest CustomerID, its first non-null
+    description in line order (null if it has none).  Lets the training
+    path aggregate quantities only (a hash aggregate) while display lookups
+    still get the reference's description."""
+    order = F.struct(-F.col(USER), F.col("Description").isNull(), F.col("LineOrder"))
+    return tx.groupBy(ITEM).agg(F.min_by("Description", order).alias("Description"))
+
+
 def user_dim(inter: DataFrame) -> DataFrame:
     """Dense 0-based index by sorted distinct CustomerID."""
     users = inter.select(USER).distinct()

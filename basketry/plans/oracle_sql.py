@@ -46,7 +46,7 @@ ranked AS (
 flagged AS (
   SELECT *, (n >= 5 AND rk <= greatest(1, CAST(floor(n * 0.2) AS BIGINT))) AS is_test FROM ranked
 ),
-train AS (SELECT CustomerID, StockCode, purchase_count, description FROM flagged WHERE NOT is_test),
+train AS (SELECT CustomerID, StockCode, purchase_count FROM flagged WHERE NOT is_test),
 test AS (SELECT CustomerID, StockCode, purchase_count AS score FROM flagged WHERE is_test)"""
 
 CUST_RAW = """

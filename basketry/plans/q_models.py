@@ -142,39 +142,41 @@ def _rec_split(spark, sf):
     return _split(spark, sf)
 
 
-def _with_desc(recs, it):
-    return (retail.with_description(recs, retail.item_descriptions(it))
+def _with_desc(recs, t):
+    return (retail.with_description(recs, retail.item_descriptions_from_lines(t))
             .select("CustomerID", "rank", "StockCode", F.round("score", 6).alias("score"), "Description"))
 
 
 @register("M9_svd_recommendations")
 def m9(spark, sf):
     """Truncated SVD (k=50) top-10 unseen items per user."""
-    it, train, _ = _rec_split(spark, sf)
+    t, train, _ = _rec_split(spark, sf)
     u, v, _ = factor.train_svd(train, 50)
-    return _with_desc(factor.top_k_from_factors(u, v, train, 10), it)
+    return _with_desc(factor.top_k_from_factors(u, v, train, 10), t)
 
 
 @register("M10_als_recommendations")
 def m10(spark, sf):
     """Implicit ALS (rank 50, 15 iterations) top-10 per user."""
-    it, train, _ = _rec_split(spark, sf)
-    _, uf, itf = factor.train_als(train, retail.user_dim(it), retail.item_dim(it))
-    return _with_desc(factor.top_k_from_factors(uf, itf, train, 10), it)
+    t, train, _ = _rec_split(spark, sf)
+    dims = retail.interactions(t, with_description=False)
+    _, uf, itf = factor.train_als(train, retail.user_dim(dims), retail.item_dim(dims))
+    return _with_desc(factor.top_k_from_factors(uf, itf, train, 10), t)
 
 
 @register("M11_nmf_recommendations")
 def m11(spark, sf):
     """NMF (k=50) top-10 unseen items per user."""
-    it, train, _ = _rec_split(spark, sf)
+    t, train, _ = _rec_split(spark, sf)
     w, h, _ = factor.train_nmf(train, 50, max_iter=NMF_ITERS)
-    return _with_desc(factor.top_k_from_factors(w, h, train, 10), it)
+    return _with_desc(factor.top_k_from_factors(w, h, train, 10), t)
 
 
 @register("M13_recommender_comparison")
 def m13(spark, sf):
     """Precision@10, Recall@10, Hit Rate of the four recommenders."""
-    it, train, test = _rec_split(spark, sf)
+    t, train, test = _rec_split(spark, sf)
+    it = retail.interactions(t, with_description=False)
     out = []
     u, v, _ = factor.train_svd(train, 50)
     out.append(("SVD", factor.top_k_from_factors(u, v, train, 10)))

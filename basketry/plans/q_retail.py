@@ -14,8 +14,10 @@ def tx(spark, sf, country=False):
     return clean.clean_transactions(raw_transactions(spark, sf, with_country=country))
 
 
-def inter(spark, sf):
-    return retail.interactions(tx(spark, sf))
+def inter(spark, sf, with_description=False):
+    """Interaction table; quantities only unless the description is shown
+    (the quantity-only aggregate is a hash aggregate, no sort)."""
+    return retail.interactions(tx(spark, sf), with_description=with_description)
 
 
 @register("S2_raw_transactions", with_(TX_RAW) + """
@@ -60,7 +62,7 @@ def a13(spark, sf):
 @register("A14_interactions", with_(INTER) + "SELECT * FROM inter")
 def a14(spark, sf):
     """Quantity and first description per (customer, item)."""
-    return inter(spark, sf)
+    return inter(spark, sf, with_description=True)
 
 
 @register("A15_interaction_quantity", with_(INTER) + """
@@ -74,7 +76,7 @@ def a15(spark, sf):
 SELECT StockCode, arg_max(description, CustomerID) AS Description FROM inter GROUP BY StockCode""")
 def a16(spark, sf):
     """One description per item, highest CustomerID wins."""
-    return retail.item_descriptions(inter(spark, sf))
+    return retail.item_descriptions_from_lines(tx(spark, sf))
 
 
 @register("A17_products_per_customer", with_(TX) + """
@@ -231,7 +233,7 @@ u AS (SELECT CustomerID, row_number() OVER (ORDER BY CustomerID) - 1 AS user_idx
       FROM (SELECT DISTINCT CustomerID FROM inter)),
 i AS (SELECT StockCode, row_number() OVER (ORDER BY first_user, StockCode) - 1 AS item_idx
       FROM (SELECT StockCode, min(CustomerID) AS first_user FROM inter GROUP BY StockCode))
-SELECT inter.StockCode, inter.CustomerID, purchase_count, description, user_idx, item_idx
+SELECT inter.StockCode, inter.CustomerID, purchase_count, user_idx, item_idx
 FROM inter JOIN u USING (CustomerID) JOIN i USING (StockCode)""")
 def j1(spark, sf):
     """Interactions with dense user and item indexes."""
@@ -302,9 +304,10 @@ def _split(spark, sf):
     later step (co-occurrence, norms, scoring, masking, metrics) reads the
     stage tables instead of re-running scan + joins + split."""
     from basketry.session import stage
-    it = stage(inter(spark, sf))
+    t = tx(spark, sf)
+    it = stage(retail.interactions(t, with_description=False))
     train, test = retail.holdout_split(it)
-    return it, stage(train), stage(test)
+    return t, stage(train), stage(test)
 
 
 @register("M12_item_neighbours", with_(ITEMCF) + """
@@ -322,9 +325,9 @@ SELECT recs.CustomerID, recs.rank, recs.StockCode, recs.score,
 FROM recs LEFT JOIN descs ON recs.StockCode = descs.StockCode""")
 def m12_recs(spark, sf):
     """Top-10 unseen items per user with descriptions."""
-    it, train, _ = _split(spark, sf)
+    t, train, _ = _split(spark, sf)
     recs = itemcf.recommend(train)
-    return (retail.with_description(recs, retail.item_descriptions(it))
+    return (retail.with_description(recs, retail.item_descriptions_from_lines(t))
             .select("CustomerID", "rank", "StockCode", "score", "Description"))
 
 
