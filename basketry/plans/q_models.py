@@ -150,7 +150,7 @@ def _with_desc(recs, t):
 @register("M9_svd_recommendations")
 def m9(spark, sf):
     """Truncated SVD (k=50) top-10 unseen items per user."""
-    t, train, _ = _rec_split(spark, sf)
+    t, _, train, _ = _rec_split(spark, sf)
     u, v, _ = factor.train_svd(train, 50)
     return _with_desc(factor.top_k_from_factors(u, v, train, 10), t)
 
@@ -158,16 +158,15 @@ def m9(spark, sf):
 @register("M10_als_recommendations")
 def m10(spark, sf):
     """Implicit ALS (rank 50, 15 iterations) top-10 per user."""
-    t, train, _ = _rec_split(spark, sf)
-    dims = retail.interactions(t, with_description=False)
-    _, uf, itf = factor.train_als(train, retail.user_dim(dims), retail.item_dim(dims))
+    t, it, train, _ = _rec_split(spark, sf)
+    _, uf, itf = factor.train_als(train, retail.user_dim(it), retail.item_dim(it))
     return _with_desc(factor.top_k_from_factors(uf, itf, train, 10), t)
 
 
 @register("M11_nmf_recommendations")
 def m11(spark, sf):
     """NMF (k=50) top-10 unseen items per user."""
-    t, train, _ = _rec_split(spark, sf)
+    t, _, train, _ = _rec_split(spark, sf)
     w, h, _ = factor.train_nmf(train, 50, max_iter=NMF_ITERS)
     return _with_desc(factor.top_k_from_factors(w, h, train, 10), t)
 
@@ -175,8 +174,7 @@ def m11(spark, sf):
 @register("M13_recommender_comparison")
 def m13(spark, sf):
     """Precision@10, Recall@10, Hit Rate of the four recommenders."""
-    t, train, test = _rec_split(spark, sf)
-    it = retail.interactions(t, with_description=False)
+    t, it, train, test = _rec_split(spark, sf)
     out = []
     u, v, _ = factor.train_svd(train, 50)
     out.append(("SVD", factor.top_k_from_factors(u, v, train, 10)))

@@ -307,14 +307,14 @@ def _split(spark, sf):
     t = tx(spark, sf)
     it = stage(retail.interactions(t, with_description=False))
     train, test = retail.holdout_split(it)
-    return t, stage(train), stage(test)
+    return t, it, stage(train), stage(test)
 
 
 @register("M12_item_neighbours", with_(ITEMCF) + """
 SELECT item_i, item_j, round(sim, 9) AS sim FROM nb""")
 def m12_nb(spark, sf):
     """Cosine neighbours, top 20 per item with ties."""
-    _, train, _ = _split(spark, sf)
+    _, _, train, _ = _split(spark, sf)
     nb = itemcf.top_neighbours(itemcf.item_similarity(train))
     return nb.withColumn("sim", F.round("sim", 9))
 
@@ -325,7 +325,7 @@ SELECT recs.CustomerID, recs.rank, recs.StockCode, recs.score,
 FROM recs LEFT JOIN descs ON recs.StockCode = descs.StockCode""")
 def m12_recs(spark, sf):
     """Top-10 unseen items per user with descriptions."""
-    t, train, _ = _split(spark, sf)
+    t, _, train, _ = _split(spark, sf)
     recs = itemcf.recommend(train)
     return (retail.with_description(recs, retail.item_descriptions_from_lines(t))
             .select("CustomerID", "rank", "StockCode", "score", "Description"))
@@ -334,5 +334,5 @@ def m12_recs(spark, sf):
 @register("E7_itemcf_metrics", with_(ITEMCF, REC_METRICS))
 def e7(spark, sf):
     """Precision@10, Recall@10, Hit Rate, Users Evaluated for item-CF."""
-    _, train, test = _split(spark, sf)
+    _, _, train, test = _split(spark, sf)
     return evaluate.recommendation_metrics(itemcf.recommend(train), test)
