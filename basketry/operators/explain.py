@@ -49,13 +49,19 @@ def global_importance(contrib: DataFrame, top: int = 15) -> DataFrame:
 def contribution_spread(contrib: DataFrame, top: int = 15) -> DataFrame:
     """Per feature (top by mean |contribution|): exact quartiles of the
     contribution and mean feature value (the beeswarm in numbers)."""
-    keep = global_importance(contrib, top).select("feature")
-    return (contrib.join(keep, "feature", "left_semi").groupBy("feature")
-                   .agg(_r(F.percentile("contribution", 0.25)).alias("p25"),
-                        _r(F.median("contribution")).alias("median"),
-                        _r(F.percentile("contribution", 0.75)).alias("p75"),
-                        _r(F.min("contribution")).alias("min"), _r(F.max("contribution")).alias("max"),
-                        _r(F.avg("value")).alias("mean_value")))
+    from basketry.functions.quantile import exact_quantiles
+    keep = [r["feature"] for r in global_importance(contrib, top).collect()]  # <= top names
+    spark = contrib.sparkSession
+    rows = []
+    for f in keep:  # bounded by ``top``
+        q = exact_quantiles(contrib.filter(F.col("feature") == f), "contribution", [0.25, 0.5, 0.75])
+        rows.append((f, *[float(x) for x in q]))
+    qdf = spark.createDataFrame(rows, "feature string, p25 double, median double, p75 double")
+    other = (contrib.filter(F.col("feature").isin(keep)).groupBy("feature")
+                    .agg(_r(F.min("contribution")).alias("min"), _r(F.max("contribution")).alias("max"),
+                         _r(F.avg("value")).alias("mean_value")))
+    return (qdf.select("feature", *[_r(F.col(c)).alias(c) for c in ["p25", "median", "p75"]])
+               .join(other, "feature"))
 
 
 def waterfall(contrib: DataFrame, id_col: str, top: int = 12) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.exprs import days_between, hash_key, ratio, truncate_label
 from basketry.functions.ordinal import hash_bucket, int_range_bucket, ordinal
+from basketry.functions.quantile import exact_median
 
 USER, ITEM = "CustomerID", "StockCode"
 
@@ -152,7 +153,8 @@ def products_per_customer(tx: DataFrame) -> DataFrame:
 
 def products_summary(per_customer: DataFrame) -> DataFrame:
     """Exact median and mean of unique products per customer."""
-    return per_customer.agg(F.median("UniqueProducts").alias("median_products"),
+    med = exact_median(per_customer, "UniqueProducts")
+    return per_customer.agg(F.lit(med).cast("double").alias("median_products"),
                             F.round(F.avg("UniqueProducts"), 6).alias("mean_products"))
 
 

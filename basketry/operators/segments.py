@@ -95,7 +95,8 @@ def churn_profile(assigned: DataFrame) -> DataFrame:
 def rfm_profile(assigned: DataFrame) -> DataFrame:
     """A24 + X18: size and mean R/F/M per cluster; the ladder compares them
     with the global medians (exact, scalar subqueries)."""
-    med = {c: assigned.select(F.median(c)).scalar() for c in RFM_FEATURES}
+    from basketry.functions.quantile import exact_median
+    med = {c: F.lit(exact_median(assigned, c)) for c in RFM_FEATURES}
     p = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.avg("Recency").alias("recency"),
         F.avg("Frequency").alias("frequency"), F.avg("Monetary").alias("monetary"))

@@ -86,3 +86,16 @@ def test_item_cf_matches_dense_brute_force_with_salting(spark):
               if a != b and dense[a, b] > 0}
     assert set(got) == set(expect)
     assert max(abs(got[k] - expect[k]) for k in expect) < 1e-12
+
+
+def test_exact_quantile_narrowing_matches_numpy(spark):
+    from basketry.functions import quantile
+    rnd = np.random.default_rng(11)
+    vals = np.concatenate([rnd.lognormal(3, 2, 3000), np.full(2000, 7.25), rnd.normal(0, 1, 500)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    values = df.select(F.col("x").alias("v"))
+    for k in [0, 1234, 2500, 4321, len(vals) - 1]:
+        got = quantile.kth_smallest(values, k, n_buckets=16, final_rows=50)  # forces several passes
+        assert got == float(np.sort(vals)[k])
+    qs = quantile.exact_quantiles(df, "x", [0.25, 0.5, 0.9])
+    assert np.allclose(qs, np.quantile(vals, [0.25, 0.5, 0.9]), rtol=0, atol=1e-12)
