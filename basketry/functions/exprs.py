@@ -66,8 +66,10 @@ def hash_key(seed, *cols) -> Column:
 
 
 def days_between(later, earlier) -> Column:
-    """Whole days of a timestamp difference, floored (not a date difference)."""
-    us = F.unix_micros(_c(later).cast("timestamp")) - F.unix_micros(_c(earlier).cast("timestamp"))
+    """Whole days of a timestamp difference, floored (not a date difference).
+    ``timestamp_diff`` on wall-clock timestamps is independent of the
+    session time zone (no DST hour appears or disappears)."""
+    us = F.timestamp_diff("MICROSECOND", _c(earlier), _c(later))
     return F.floor(us / F.lit(86_400_000_000)).cast("bigint")
 
 

@@ -54,7 +54,9 @@ def kth_smallest(values: DataFrame, k: int, n_buckets: int = N_BUCKETS,
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> list:
     """Exact linear-interpolated quantiles of ``column`` (nulls ignored);
     None for an empty column."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    from basketry.session import stage
+    # the upstream plan runs once; the narrowing passes scan one column
+    values = stage(df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull()))
     n = values.count()
     if n == 0:
         return [None for _ in qs]

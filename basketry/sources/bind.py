@@ -64,15 +64,15 @@ def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoff = orders.select(F.max("o_orderdate") - F.expr("INTERVAL 365 DAYS")).scalar()
     pre = orders.filter(F.col("o_orderdate") < cutoff)
 
-    spend = pre.groupBy("o_custkey").agg(
-        F.min("o_orderdate").alias("first_order"),
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spend"))
-    # Most frequent priority, ties alphabetical: a two-level aggregate, so a
-    # heavy customer is pre-aggregated on the map side.
-    prio = (pre.groupBy("o_custkey", "o_orderpriority").count()
-               .groupBy("o_custkey")
-               .agg(F.min_by("o_orderpriority", F.struct(-F.col("count"), F.col("o_orderpriority")))
-                    .alias("top_priority")))
+    # One aggregation chain for spend, first order and the most frequent
+    # priority (ties alphabetical): (customer, priority) partials first, so a
+    # heavy customer is combined map-side, then one row per customer.
+    per_prio = pre.groupBy("o_custkey", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("first_p"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spend_p"))
+    spend = per_prio.groupBy("o_custkey").agg(
+        F.min("first_p").alias("first_order"), F.sum("spend_p").alias("spend"),
+        F.min_by("o_orderpriority", F.struct(-F.col("n"), F.col("o_orderpriority"))).alias("top_priority"))
     returned = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag"])
                 .filter(F.col("l_returnflag") == "R").select("l_orderkey"))
     has_returns = (pre.join(returned, pre.o_orderkey == returned.l_orderkey, "left_semi")
@@ -88,8 +88,6 @@ def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = (cust.join(geo, cust.c_nationkey == geo.n_nationkey)
               .join(spend, cust.c_custkey == spend.o_custkey, "left")
-              .join(prio.withColumnRenamed("o_custkey", "p_custkey"),
-                    cust.c_custkey == F.col("p_custkey"), "left")
               .join(has_returns, cust.c_custkey == has_returns.r_custkey, "left")
               .join(has_events, cust.c_custkey == has_events.user_id, "left")
               .join(active, cust.c_custkey == active.a_custkey, "left"))
