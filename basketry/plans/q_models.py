@@ -26,35 +26,57 @@ def _train_test(spark, sf):
     return sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
 
 
+_CUSTOMER_INPUTS = ["orders", "customer", "nation", "region", "lineitem", "events"]
+
+
+def _model(spark, sf, name, fit, **params):
+    """Fitted model memoised by (input data version, parameters)."""
+    from basketry.sources.cache import cached_model
+    tr, _ = _train_test(spark, sf)
+    inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in _CUSTOMER_INPUTS]
+    return cached_model(spark, name, inputs, params, lambda: fit(tr, **params))
+
+
+def lr_model(spark, sf):
+    return _model(spark, sf, "lr", churn.logistic_regression, max_iter=2000)
+
+
+def rf_model(spark, sf):
+    return _model(spark, sf, "rf", churn.random_forest, num_trees=200, max_depth=30, seed=42)
+
+
+def gbt_model(spark, sf):
+    return _model(spark, sf, "gbt", churn.gradient_boosting, max_iter=200, max_depth=5, step=0.1, seed=42)
+
+
 @register("M1_lr_predictions")
 def m1(spark, sf):
     """M1/M4: logistic regression (one-hot) predictions on the test side."""
-    tr, te = _train_test(spark, sf)
-    return churn.predict(churn.logistic_regression(tr), te)
+    _, te = _train_test(spark, sf)
+    return churn.predict(lr_model(spark, sf), te)
 
 
 @register("M2_rf_predictions")
 def m2(spark, sf):
     """M2/M4: random forest (200 trees) predictions on the test side."""
-    tr, te = _train_test(spark, sf)
-    return churn.predict(churn.random_forest(tr), te)
+    _, te = _train_test(spark, sf)
+    return churn.predict(rf_model(spark, sf), te)
 
 
 @register("M3_gbt_predictions")
 def m3(spark, sf):
     """M3/M4: gradient-boosted trees (200 x depth 5) on the test side."""
-    tr, te = _train_test(spark, sf)
-    return churn.predict(churn.gradient_boosting(tr), te)
+    _, te = _train_test(spark, sf)
+    return churn.predict(gbt_model(spark, sf), te)
 
 
 @register("E6_model_comparison")
 def e6(spark, sf):
     """Metrics of the three classifiers with their encoding."""
-    tr, te = _train_test(spark, sf)
-    tr = tr.persist()
-    preds = {"Logistic Regression": churn.predict(churn.logistic_regression(tr), te),
-             "Random Forest": churn.predict(churn.random_forest(tr), te),
-             "Gradient Boosted Trees": churn.predict(churn.gradient_boosting(tr), te)}
+    _, te = _train_test(spark, sf)
+    preds = {"Logistic Regression": churn.predict(lr_model(spark, sf), te),
+             "Random Forest": churn.predict(rf_model(spark, sf), te),
+             "Gradient Boosted Trees": churn.predict(gbt_model(spark, sf), te)}
     enc = {"Logistic Regression": "one-hot", "Random Forest": "label", "Gradient Boosted Trees": "label"}
     return churn.compare(preds, enc)
 
@@ -62,23 +84,21 @@ def e6(spark, sf):
 @register("E9_lr_contributions")
 def e9(spark, sf):
     """Exact linear attributions per customer and one-hot slot."""
-    tr, te = _train_test(spark, sf)
-    return churn.lr_contributions(churn.logistic_regression(tr), te)
+    _, te = _train_test(spark, sf)
+    return churn.lr_contributions(lr_model(spark, sf), te)
 
 
 @register("E10_lr_importance")
 def e10lr(spark, sf):
     """E10 over the fitted model's attributions: top-15 mean |contribution|."""
-    tr, te = _train_test(spark, sf)
-    return explain.global_importance(churn.lr_contributions(churn.logistic_regression(tr), te))
+    _, te = _train_test(spark, sf)
+    return explain.global_importance(churn.lr_contributions(lr_model(spark, sf), te))
 
 
 @register("X22_scenarios")
 def x22(spark, sf):
     """What-if (+12 months tenure) scores of the demo customers."""
-    tr, te = _train_test(spark, sf)
-    model = churn.logistic_regression(tr)
-    return churn.scenario_scores(model, features.demo_picks(split(spark, sf)))
+    return churn.scenario_scores(lr_model(spark, sf), features.demo_picks(split(spark, sf)))
 
 
 @register("J5_aligned_rows", with_(SPLIT) + """
