@@ -31,9 +31,12 @@ def raw_transactions(spark: SparkSession, sf_dir: str, with_country: bool = True
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_retailprice"])
     df = (li.join(orders, li.l_orderkey == orders.o_orderkey)
             .join(part, li.l_partkey == part.p_partkey))
+    # InvoiceNo is built from lineitem's own order key (equal to o_orderkey
+    # under the join), so the cancellation filter only references lineitem
+    # columns and Catalyst applies it below the lineitem x orders join.
     cols = [
-        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("C"), F.col("o_orderkey").cast("string")))
-         .otherwise(F.col("o_orderkey").cast("string")).alias("InvoiceNo"),
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("C"), F.col("l_orderkey").cast("string")))
+         .otherwise(F.col("l_orderkey").cast("string")).alias("InvoiceNo"),
         F.col("l_partkey").cast("string").alias("StockCode"),
         F.col("p_name").alias("Description"),
         F.col("l_quantity").cast("bigint").alias("Quantity"),
