@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.exprs import days_between, hash_key, ratio, truncate_label
+from basketry.functions.exprs import days_between, hash_key, truncate_label
 from basketry.functions.ordinal import hash_bucket, int_range_bucket, ordinal
 from basketry.functions.quantile import exact_median
 
