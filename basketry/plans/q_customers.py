@@ -645,3 +645,14 @@ SELECT arg_min(active_users, month) AS active_users_initial, arg_max(active_user
 def e13(spark, sf):
     """Initial, final and change over a metric history."""
     return evaluate.run_readout(growth(spark, sf), "month", ["active_users", "interactions"])
+
+
+@register("J6_customer_lookup", with_(SPLIT) + """
+SELECT customerID, CASE WHEN split = 'test' THEN 'test' WHEN split = 'train' THEN 'train' ELSE 'all' END AS source,
+       tenure, MonthlyCharges, TotalCharges, Churn FROM split""")
+def j6(spark, sf):
+    """Customer lookup with precedence test -> train -> all rows."""
+    sp = split(spark, sf)
+    src = (F.when(F.col("split") == "test", "test").when(F.col("split") == "train", "train")
+            .otherwise("all"))
+    return sp.select("customerID", src.alias("source"), "tenure", "MonthlyCharges", "TotalCharges", "Churn")

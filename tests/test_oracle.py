@@ -28,7 +28,7 @@ def test_every_key_has_a_builder_and_sql_keys_subset():
     from __spark_entry__ import oracle_sql, queries
     q, s = queries(), oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 90
+    assert len(q) >= 100
 
 
 def test_entry_runs(spark):
