@@ -59,8 +59,8 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> D
     """Fixed-width histogram over [min, max] with ``bins`` bins (the
     max falls in the last bin); optional split column."""
     v = F.col(column).cast("double")
-    lo = df.select(F.min(v)).scalar()
-    hi = df.select(F.max(v)).scalar()
+    lo_v, hi_v = df.agg(F.min(v), F.max(v)).first()   # one aggregate, two literals
+    lo, hi = F.lit(lo_v).cast("double"), F.lit(hi_v).cast("double")
     width = (hi - lo) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((v - lo) / width), F.lit(bins - 1))).cast("int")
