@@ -166,42 +166,62 @@ def _with_desc(recs, t):
             .select("CustomerID", "rank", "StockCode", F.round("score", 6).alias("score"), "Description"))
 
 
+def svd_recs(spark, sf, k=50):
+    from basketry.plans.q_retail import memo
+    _, _, train, _ = _rec_split(spark, sf)
+
+    def build():
+        u, v, _ = factor.train_svd(train, k)
+        return factor.top_k_from_factors(u, v, train, 10)
+    return memo(spark, sf, "svd-recs", {"k": k}, build)
+
+
+def als_recs(spark, sf, k=50):
+    from basketry.plans.q_retail import memo
+    _, it, train, _ = _rec_split(spark, sf)
+
+    def build():
+        _, uf, itf = factor.train_als(train, retail.user_dim(it), retail.item_dim(it), n_factors=k)
+        return factor.top_k_from_factors(uf, itf, train, 10)
+    return memo(spark, sf, "als-recs", {"k": k}, build)
+
+
+def nmf_recs(spark, sf, k=50, max_iter=NMF_ITERS):
+    from basketry.plans.q_retail import memo
+    _, _, train, _ = _rec_split(spark, sf)
+
+    def build():
+        w, h, _ = factor.train_nmf(train, k, max_iter=max_iter)
+        return factor.top_k_from_factors(w, h, train, 10)
+    return memo(spark, sf, "nmf-recs", {"k": k, "max_iter": max_iter}, build)
+
+
 @register("M9_svd_recommendations")
 def m9(spark, sf):
     """Truncated SVD (k=50) top-10 unseen items per user."""
-    t, _, train, _ = _rec_split(spark, sf)
-    u, v, _ = factor.train_svd(train, 50)
-    return _with_desc(factor.top_k_from_factors(u, v, train, 10), t)
+    return _with_desc(svd_recs(spark, sf), tx(spark, sf))
 
 
 @register("M10_als_recommendations")
 def m10(spark, sf):
     """Implicit ALS (rank 50, 15 iterations) top-10 per user."""
-    t, it, train, _ = _rec_split(spark, sf)
-    _, uf, itf = factor.train_als(train, retail.user_dim(it), retail.item_dim(it))
-    return _with_desc(factor.top_k_from_factors(uf, itf, train, 10), t)
+    return _with_desc(als_recs(spark, sf), tx(spark, sf))
 
 
 @register("M11_nmf_recommendations")
 def m11(spark, sf):
     """NMF (k=50) top-10 unseen items per user."""
-    t, _, train, _ = _rec_split(spark, sf)
-    w, h, _ = factor.train_nmf(train, 50, max_iter=NMF_ITERS)
-    return _with_desc(factor.top_k_from_factors(w, h, train, 10), t)
+    return _with_desc(nmf_recs(spark, sf), tx(spark, sf))
 
 
 @register("M13_recommender_comparison")
 def m13(spark, sf):
-    """Precision@10, Recall@10, Hit Rate of the four recommenders."""
-    t, it, train, test = _rec_split(spark, sf)
-    out = []
-    u, v, _ = factor.train_svd(train, 50)
-    out.append(("SVD", factor.top_k_from_factors(u, v, train, 10)))
-    _, uf, itf = factor.train_als(train, retail.user_dim(it), retail.item_dim(it))
-    out.append(("ALS", factor.top_k_from_factors(uf, itf, train, 10)))
-    w, h, _ = factor.train_nmf(train, 50, max_iter=NMF_ITERS)
-    out.append(("NMF", factor.top_k_from_factors(w, h, train, 10)))
-    out.append(("Item-CF", itemcf.recommend(train)))
+    """Precision@10, Recall@10, Hit Rate of the four recommenders
+    (reads the recommendation tables the M9-M12 queries hand over)."""
+    from basketry.plans.q_retail import itemcf_recs
+    _, _, _, test = _rec_split(spark, sf)
+    out = [("SVD", svd_recs(spark, sf)), ("ALS", als_recs(spark, sf)),
+           ("NMF", nmf_recs(spark, sf)), ("Item-CF", itemcf_recs(spark, sf))]
     res = None
     for name, recs in out:
         m = evaluate.recommendation_metrics(recs, test).select(F.lit(name).alias("model"), "*")

@@ -299,15 +299,32 @@ from basketry.operators import evaluate, itemcf  # noqa: E402
 from basketry.plans.oracle_sql import ITEMCF, REC_METRICS  # noqa: E402
 
 
-def _split(spark, sf):
+TX_INPUTS = ["lineitem", "orders", "part", "customer", "nation"]
+
+
+def memo(spark, sf, name, params, build):
+    """S6 hand-over: a table written once per (input data version, params)."""
+    from basketry.sources.cache import cached_table
+    return cached_table(spark, name, [f"{sf.rstrip('/')}/{t}.parquet" for t in TX_INPUTS], params, build)
+
+
+def _split(spark, sf, test_ratio=0.2, seed=42):
     """Interactions and their hold-out split, each written once: every
-    later step (co-occurrence, norms, scoring, masking, metrics) reads the
-    stage tables instead of re-running scan + joins + split."""
-    from basketry.session import stage
+    later step and every later query (co-occurrence, norms, scoring,
+    masking, metrics, the factor models) reads these tables instead of
+    re-running scan + joins + split."""
     t = tx(spark, sf)
-    it = stage(retail.interactions(t, with_description=False))
-    train, test = retail.holdout_split(it)
-    return t, it, stage(train), stage(test)
+    it = memo(spark, sf, "interactions", {}, lambda: retail.interactions(t, with_description=False))
+    p = {"test_ratio": test_ratio, "seed": seed}
+    train = memo(spark, sf, "rec-train", p, lambda: retail.holdout_split(it, test_ratio, seed)[0])
+    test = memo(spark, sf, "rec-test", p, lambda: retail.holdout_split(it, test_ratio, seed)[1])
+    return t, it, train, test
+
+
+def itemcf_recs(spark, sf, n=10, top_k_similar=20):
+    _, _, train, _ = _split(spark, sf)
+    return memo(spark, sf, "itemcf-recs", {"n": n, "k": top_k_similar},
+                lambda: itemcf.recommend(train, n=n, top_k_similar=top_k_similar))
 
 
 @register("M12_item_neighbours", with_(ITEMCF) + """
@@ -325,8 +342,8 @@ SELECT recs.CustomerID, recs.rank, recs.StockCode, recs.score,
 FROM recs LEFT JOIN descs ON recs.StockCode = descs.StockCode""")
 def m12_recs(spark, sf):
     """Top-10 unseen items per user with descriptions."""
-    t, _, train, _ = _split(spark, sf)
-    recs = itemcf.recommend(train)
+    t = tx(spark, sf)
+    recs = itemcf_recs(spark, sf)
     return (retail.with_description(recs, retail.item_descriptions_from_lines(t))
             .select("CustomerID", "rank", "StockCode", "score", "Description"))
 
@@ -334,5 +351,5 @@ def m12_recs(spark, sf):
 @register("E7_itemcf_metrics", with_(ITEMCF, REC_METRICS))
 def e7(spark, sf):
     """Precision@10, Recall@10, Hit Rate, Users Evaluated for item-CF."""
-    _, _, train, test = _split(spark, sf)
-    return evaluate.recommendation_metrics(itemcf.recommend(train), test)
+    _, _, _, test = _split(spark, sf)
+    return evaluate.recommendation_metrics(itemcf_recs(spark, sf), test)

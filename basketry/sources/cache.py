@@ -59,3 +59,12 @@ def cached_model(spark: SparkSession, name: str, inputs: list[str], params: dict
     model.write().overwrite().save(path)
     spark.createDataFrame([(1,)], "ok int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_SUCCESS_MODEL")
     return model
+
+
+def cached_table(spark: SparkSession, name: str, inputs: list[str], params: dict, build):
+    """A result table written once per (data, params) and read back by
+    every later query that needs it (parquet in the shared folder)."""
+    path = memo_path(spark, memo_key(spark, name, inputs, params))
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
