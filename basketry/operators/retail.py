@@ -84,6 +84,25 @@ def with_description(df: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 # -- hold-out split ----------------------------------------------------------
 
+def holdout_flags(inter: DataFrame, test_ratio: float = 0.2, seed: int = 42, min_items: int = 5) -> DataFrame:
+    """W3 in one table: the interaction rows with an ``is_test`` flag (see
+    ``holdout_split``); write it once, then train and test are filters."""
+    h = hash_key(seed, USER, ITEM)
+    ranked = ordinal(inter.withColumn("__h", h), ["__h", ITEM], hash_bucket("__h"),
+                     group_cols=[USER], name="__rank", total_name="__n")
+    n_test = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(test_ratio)).cast("bigint"))
+    return (ranked.withColumn("is_test", (F.col("__n") >= min_items) & (F.col("__rank") <= n_test))
+                  .select(*inter.columns, "is_test"))
+
+
+def split_from_flags(flags: DataFrame):
+    """(train, test) from a flagged table."""
+    cols = [c for c in flags.columns if c != "is_test"]
+    train = flags.filter(~F.col("is_test")).select(*cols)
+    test = flags.filter(F.col("is_test")).select(USER, ITEM, F.col("purchase_count").alias("score"))
+    return train, test
+
+
 def holdout_split(inter: DataFrame, test_ratio: float = 0.2, seed: int = 42, min_items: int = 5):
     """Per user with >= ``min_items`` items, hold out
     ``max(1, int(n * test_ratio))`` items picked by an md5 order (the same

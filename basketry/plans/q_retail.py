@@ -316,8 +316,8 @@ def _split(spark, sf, test_ratio=0.2, seed=42):
     t = tx(spark, sf)
     it = memo(spark, sf, "interactions", {}, lambda: retail.interactions(t, with_description=False))
     p = {"test_ratio": test_ratio, "seed": seed}
-    train = memo(spark, sf, "rec-train", p, lambda: retail.holdout_split(it, test_ratio, seed)[0])
-    test = memo(spark, sf, "rec-test", p, lambda: retail.holdout_split(it, test_ratio, seed)[1])
+    flags = memo(spark, sf, "rec-split", p, lambda: retail.holdout_flags(it, test_ratio, seed))
+    train, test = retail.split_from_flags(flags)
     return t, it, train, test
 
 

@@ -75,9 +75,13 @@ def ensure_dir(path: str) -> str:
     return path
 
 
-def stage(df):
-    """Materialise a DataFrame that several later steps read: a reliable
-    checkpoint in the shared checkpoint folder (cuts the lineage, survives
-    executor loss, is read back with its partitioning)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df, name: str = "stage"):
+    """Materialise a DataFrame that several later steps read: a parquet
+    table written once into the shared checkpoint folder and read back.
+    It cuts the lineage, survives executor loss, and -- unlike
+    ``Dataset.checkpoint`` on an unpersisted plan, which evaluates the plan a
+    second time to fill the checkpoint -- computes the plan exactly once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

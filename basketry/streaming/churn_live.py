@@ -24,9 +24,8 @@ FEATURES = CATEGORICAL_COLS + NUMERIC_COLS
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    from basketry.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from basketry.session import stage
+    return stage(df, "churn-prep")
 
 
 def _margin(w, b):
