@@ -5,7 +5,7 @@ outlive the data it was fitted on.
 The data version of a parquet input is its file listing with sizes and
 modification times (read through the Hadoop FileSystem of the session, so
 it works for any shared storage).  Artefacts live under
-``<spark.checkpoint.dir>/memo/<key>``.
+``<spark.checkpoint.dir>/memo/<application id>/<key>``.
 """
 
 from __future__ import annotations
@@ -40,7 +40,13 @@ def memo_key(spark: SparkSession, name: str, inputs: list[str], params: dict) ->
 
 
 def memo_path(spark: SparkSession, key: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/memo/{key}"
+    """Memo entries live per Spark application (like a per-process cache):
+    queries of one application hand tables to each other, a new application
+    recomputes.  Set ``basketry.memo.shared=true`` to share across
+    applications (the key already carries the data version)."""
+    shared = spark.conf.get("basketry.memo.shared", "false").lower() == "true"
+    scope = "shared" if shared else spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark).rstrip('/')}/memo/{scope}/{key}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
