@@ -45,17 +45,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is set by the deployment and points at shared storage.
     Only when it is unset (local tests) do we create a private folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             # a machine-local folder is invisible to other executors and is
             # lost with its machine: on a cluster the setting must be given
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="basketry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        # Spark refuses to change spark.checkpoint.dir in a running session;
+        # the context's own folder carries the choice to later calls
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
@@ -65,16 +65,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_dir(path: str) -> str:
-    if is_local_path(path):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
-
-
 def stage(df, name: str = "stage"):
     """Materialise a DataFrame that several later steps read: a parquet
     table written once into the shared checkpoint folder and read back.
