@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.sources.tables import read_table
 
@@ -34,3 +35,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.simhash import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
                            shingle_words=3, max_bits=3).withColumnRenamed("id", "doc_id")
+
+
+_OP5_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS lo FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM h JOIN m USING (h) WHERE doc_id > lo),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS r,
+      CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+      FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+@query("op5_substring_dedup", _OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 50-word windows that start in an earlier document, removed."""
+    from basketry.llm.substring import remove_repeats
+    out = remove_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), window=50)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
