@@ -57,3 +57,61 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.substring import remove_repeats
     out = remove_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), window=50)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '[', '\b'))
+             + length(replace(replace(replace(replace(role, '\', '\s'), '<', '\l'), '[', '\b'), chr(10), '\n'))
+             + length('<|start|>') + 1 + length('<|end|>') + 1 AS n FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op4_chat_formatting", _OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -1 as a reply tree with one branch,
+    formatted, then read back."""
+    from basketry.llm import chat
+    rows = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    out = chat.format_trees(chat.threads(rows.unionByName(extra)))
+    out = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
+        "lossy", chat.read_loss(F.col("formatted"), F.col("loss")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                      F.sha2(told, 256).alias("turns_sha256"), F.length("lossy").cast("long").alias("loss_chars"),
+                      F.sha2("lossy", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of every document."""
+    from basketry.llm.packing import pack
+    return packed_rows(pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def packed_rows(packed: DataFrame) -> DataFrame:
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    from basketry.llm import warc
+    from basketry.session import scratch_path
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]), path)
+    found = warc.load_archives(spark, path, payloads=False).filter("kind <> 'gap'")
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
+                        F.col("kind").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
