@@ -115,3 +115,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.load_archives(spark, path, payloads=False).filter("kind <> 'gap'")
     return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
                         F.col("kind").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+_ITEM_WORDS = (r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+               r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+_OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS m FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM b)),
+k AS (SELECT DISTINCT m FROM b),
+dw AS (SELECT doc_id, s, m, array_to_string(w[s:s + m - 1], ' ') AS win
+       FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d JOIN k ON len(w) >= m)),
+h AS (SELECT doc_id, s, dw.m, item_id FROM dw JOIN bw USING (m, win)),
+c AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM (SELECT DISTINCT doc_id, s, m FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.l, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op9_benchmark_decontamination", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    from basketry.llm.winnow import contaminated
+    out = contaminated(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                       read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
