@@ -143,3 +143,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                        read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, n-gram score and verdict of every document."""
+    from basketry.llm import quality
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]))
+    return quality.judged(docs, model).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score")
