@@ -154,3 +154,44 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, model).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "score")
+
+
+def _op6_sql() -> str:
+    from basketry.llm import licenses as lic
+
+    def re2(s: str) -> str:
+        return s.replace("'", "''")
+
+    def form(col: str) -> str:
+        out = f"regexp_replace(lower(regexp_replace(coalesce({col}, ''), '{re2(lic.COPYRIGHT_LINE)}', '', 'g')), '{re2(lic.NOT_WORD)}', ' ', 'g')"
+        for a, b in lic.SPELLINGS:
+            out = f"regexp_replace({out}, '{re2(a)}', '{b.replace('$', chr(92))}', 'g')"
+        return out
+
+    def line(x: str) -> str:
+        return f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
+
+    known = ", ".join("('{}', '{}')".format(k, re2(t)) for k, t in lic.KNOWN)
+    return f"""
+WITH known AS (SELECT f, array_to_string(list_sort(list(DISTINCT k)), '|') AS license
+               FROM (SELECT k, {line(form('t'))} AS f FROM (VALUES {known}) v(k, t)) WHERE f <> '' GROUP BY f),
+d AS (SELECT doc_id, {form('text')} AS form FROM documents),
+u AS (SELECT doc_id, 'text' AS unit, {line('form')} AS f FROM d
+      UNION ALL SELECT doc_id, 'paragraph', {line('p')} FROM (SELECT doc_id, unnest(regexp_split_to_array(form, '\\n *\\n[ \\n]*')) AS p FROM d)
+      UNION ALL SELECT doc_id, 'line', trim(p) FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS p FROM d)),
+h AS (SELECT doc_id, unit, license FROM u JOIN known USING (f)),
+g AS (SELECT doc_id, max(license) FILTER (unit = 'text') AS text_license, count(*) FILTER (unit = 'line') AS n_lines,
+             array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses FROM h GROUP BY doc_id)
+SELECT doc_id, text_license, coalesce(n_lines, 0)::BIGINT AS n_license_lines, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op6_license_scan", _op6_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts found whole in every document."""
+    from basketry.llm.licenses import scan
+    out = scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return out.select(F.col("id").alias("doc_id"), "text_license",
+                      F.size(F.filter("found", lambda x: x["unit"] == "line")).cast("long").alias("n_license_lines"),
+                      F.array_join("licenses", ",").alias("licenses"))
