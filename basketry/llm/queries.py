@@ -195,3 +195,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "text_license",
                       F.size(F.filter("found", lambda x: x["unit"] == "line")).cast("long").alias("n_license_lines"),
                       F.array_join("licenses", ",").alias("licenses"))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with its verdict."""
+    from basketry.llm.secrets import scan
+    out = scan(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+    return out.select(F.col("id").alias("doc_id"), "word_at", F.col("length").cast("long").alias("length"),
+                      F.sha2("value", 256).alias("value_sha256"), "label", "probability", "is_secret")
