@@ -204,3 +204,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
     return out.select(F.col("id").alias("doc_id"), "word_at", F.col("length").cast("long").alias("length"),
                       F.sha2("value", 256).alias("value_sha256"), "label", "probability", "is_secret")
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    from basketry.llm.lm import score
+    return score(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).withColumnRenamed("id", "doc_id")
