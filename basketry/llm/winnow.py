@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.bitmap import bitmap, maybe
 from basketry.llm.text import ascii_lower, split_words, whole
+from basketry.session import stage
 
 NOT_ITEM_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 50_000
@@ -83,9 +84,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     are not read.
     """
     prints, windows = benchmark_windows(items, item_col, item_text_col, window, k)
-    prints, windows = prints.persist(), windows.persist()
+    prints, windows = stage(prints, "prints"), stage(windows, "windows")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = _hits(rows, "text", prints, windows, window, k)
+    words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
+    return out.select("id", "n_words", F.sort_array("hits").alias("hits"), F.size(words).cast("long").alias("n_hit"),
+                      F.array_sort("items").alias("items"))
+
+
+def _hits(docs: DataFrame, text_col: str, prints: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
+    """(rid, id, n_words, hits, items) of ``docs(rid, id, text)``."""
     lens = sorted(r["len"] for r in prints.select("len").distinct().collect())  # at most `window` values
-    rows = (docs.select(F.col(id_col).alias("id"), item_words(F.col(text_col)).alias("w"))
+    rows = (docs.select("rid", "id", item_words(F.col(text_col)).alias("w"))
             .withColumn("n_words", F.size("w").cast("long")).withColumn("grams", _grams("w", k)))
     found = []
     for m in lens:
@@ -112,7 +122,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 j.alias("at"), F.slice("w", j + 1, F.lit(m)).alias("ctx"))))
     shape = "array<struct<len:int,g:bigint,at:int,ctx:array<string>>>"
     candidates = F.concat(*found) if found else F.array()
-    one = (rows.select(F.monotonically_increasing_id().alias("rid"), "id", "n_words", candidates.cast(shape).alias("c"))
+    one = (rows.select("rid", "id", "n_words", candidates.cast(shape).alias("c"))
            .select("rid", "id", "n_words", F.explode_outer("c").alias("c"))
            # rows without a candidate get a key of their own, so they spread
            .select("rid", "id", "n_words", "c", F.coalesce("c.g", F.xxhash64("rid")).alias("g"), F.coalesce("c.len", F.lit(0)).alias("len")))
@@ -125,9 +135,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 .select("rid", "id", "n_words", "len", F.col("x.start").alias("start"),
                         F.coalesce("x.win", F.concat(F.lit("\n"), F.col("rid").cast("string"))).alias("win")))
     hits = extended.join(_sized(windows), ["win", "len"], "left")
-    out = hits.groupBy("rid").agg(
+    return hits.groupBy("rid").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", F.col("len").alias("length")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
-    return out.select("id", "n_words", F.sort_array("hits").alias("hits"), F.size(words).cast("long").alias("n_hit"), "items")
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+               item_text_col: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark; all columns
+    and their names are kept.  Rows are told apart by id and text hash, so a
+    null or repeated id is no matter."""
+    key = [F.col(id_col).alias("_id"), F.xxhash64(whole(F.col(text_col))).alias("_hash")]
+    rows = docs.select(F.struct(*key).alias("key"), F.col(text_col).alias("text"))
+    bad = (contaminated(rows, items, "key", "text", item_col, item_text_col, window, k)
+           .filter("n_hit > 0").select("id._id", "id._hash").distinct())
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *key)
+    return (row.alias("a").join(bad.alias("b"), F.expr("a._id <=> b._id AND a._hash = b._hash"), "left_anti").select("_row.*"))
