@@ -16,8 +16,6 @@ import heapq
 
 import numpy as np
 
-LN10 = np.float32(np.log(10.0))
-
 
 def shapes(symbols: int, classes: int, groups: int, size: int, embed: int, hidden: int) -> dict[str, tuple]:
     return {"emb": (symbols, embed), "Wx": (embed, 3 * hidden), "U": (hidden, 3 * hidden), "b": (3 * hidden,),
@@ -67,7 +65,10 @@ def lanes(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    x = np.tanh(x * np.float32(0.5))
+    x += 1.0
+    x *= np.float32(0.5)
+    return x
 
 
 def _run(p, ids, keep, h, store):
@@ -90,18 +91,19 @@ def _run(p, ids, keep, h, store):
 
 
 def _by_class(cls: np.ndarray, groups: int):
-    """(class, positions) of the targets that have a word softmax."""
+    """Positions of the targets that have a word softmax, sorted by class,
+    and (class, from, to) of each run among them."""
     order = np.argsort(cls, kind="stable")
     edge = np.searchsorted(cls[order], np.arange(groups + 1))
-    for k in range(groups):
-        if edge[k] < edge[k + 1]:
-            yield k, order[edge[k]:edge[k + 1]]
+    runs = [(k, int(edge[k]), int(edge[k + 1])) for k in range(groups) if edge[k] < edge[k + 1]]
+    return order[:edge[-1]], runs
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits (in place; kept below overflow) and its row sums."""
+    np.minimum(x, 80.0, out=x)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], np.float32)
 
 
 def _windows(start, total, steps, longest=128):
@@ -127,9 +129,13 @@ def score(p, symbols, cls, word, first, start, total, steps=32) -> np.ndarray:
         s, h, _ = _run(p, symbols[at], (~first[at]).astype(np.float32), h[:live], False)
         places, s = at[ok], s[ok]
         c = cls[places]
-        lp = _log_softmax(s @ p["Wc"] + p["bc"])[np.arange(len(c)), c]
-        for k, i in _by_class(c, groups):
-            lp[i] += _log_softmax(s[i] @ p["Wo"][k].T + p["bo"][k])[np.arange(len(i)), word[places[i]]]
+        e, total_e = _softmax(s @ p["Wc"] + p["bc"])
+        lp = np.log(e[np.arange(len(c)), c] / total_e + 1e-30)
+        order, runs = _by_class(c, groups)
+        s, w = s[order], word[places[order]]
+        for k, lo, hi in runs:
+            e, total_e = _softmax(s[lo:hi] @ p["Wo"][k].T + p["bo"][k])
+            lp[order[lo:hi]] += np.log(e[np.arange(hi - lo), w[lo:hi]] / total_e + 1e-30)
         out[places] = lp
     return out
 
@@ -144,16 +150,20 @@ def train(p, symbols, cls, word, first, start, total, adam, rate, steps=16, clip
         flat, places = s[ok], at[ok]
         c, n = cls[places], len(places)
         g = {k: np.zeros_like(v) for k, v in p.items() if k in ("Wo", "bo")}
-        d = np.exp(_log_softmax(flat @ p["Wc"] + p["bc"]))
-        d[np.arange(n), c] -= 1.0
-        d /= n
+        d, sums = _softmax(flat @ p["Wc"] + p["bc"])
+        d *= (1.0 / (n * sums))[:, None]
+        d[np.arange(n), c] -= 1.0 / n
         g["Wc"], g["bc"], ds = flat.T @ d, d.sum(axis=0), d @ p["Wc"].T
-        for k, i in _by_class(c, groups):
-            d = np.exp(_log_softmax(flat[i] @ p["Wo"][k].T + p["bo"][k]))
-            d[np.arange(len(i)), word[places[i]]] -= 1.0
-            d /= n
-            g["Wo"][k], g["bo"][k] = d.T @ flat[i], d.sum(axis=0)
-            ds[i] += d @ p["Wo"][k]
+        order, runs = _by_class(c, groups)
+        near, w, dn = flat[order], word[places[order]], np.empty((len(order), hid), np.float32)
+        for k, lo, hi in runs:
+            part = near[lo:hi]
+            d, sums = _softmax(part @ p["Wo"][k].T + p["bo"][k])
+            d *= (1.0 / (n * sums))[:, None]
+            d[np.arange(hi - lo), w[lo:hi]] -= 1.0 / n
+            g["Wo"][k], g["bo"][k] = d.T @ part, d.sum(axis=0)
+            dn[lo:hi] = d @ p["Wo"][k]
+        ds[order] += dn
         back = np.zeros_like(s)
         back[ok] = ds
         dx = np.empty(ids.shape + (3 * hid,), np.float32)

@@ -20,6 +20,7 @@ grows with the corpus is broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,9 @@ from basketry.session import stage
 GROUPS, SIZE = 32, 32        # frequency bands and words in each
 TAILS = 31                   # classes of all other words
 KNOWN = 65_536               # words sent to the tasks
-EMBED = HIDDEN = 16
+EMBED = HIDDEN = 12
 ROUNDS = 2
-LANES, STEPS = 192, 16
+LANES, STEPS = 320, 24
 CHUNK_TOKENS = 1_200_000     # tokens of documents that run side by side
 SEED = 42
 END = ""                     # no word is empty
@@ -129,14 +130,17 @@ class _Coded:
     def __init__(self, texts: list[str], numbers: dict[bytes, int], v: Vocabulary):
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         self.lengths = np.array([len(w) + 1 for w in split], np.int64)
-        get = numbers.get
-        self.j = np.fromiter((get(w, -1) for ws in split for w in (*ws, None)), np.int32, int(self.lengths.sum()))
+        flat: list = []
+        for words in split:
+            flat += words
+            flat.append(None)
+        self.j = np.fromiter(map(numbers.get, flat, repeat(-1)), np.int32, len(flat))
         ends = np.cumsum(self.lengths) - 1
         self.j[ends] = -2
         rare = np.flatnonzero(self.j == -1)
         doc = np.repeat(np.arange(len(split)), self.lengths)
         firsts = np.r_[0, ends[:-1] + 1] if len(ends) else np.empty(0, np.int64)
-        self.rare_words = [split[d][k] for d, k in zip(doc[rare].tolist(), (rare - firsts[doc[rare]]).tolist())]
+        self.rare_words = [flat[k] for k in rare.tolist()]
         tails = np.fromiter(map(_tail, self.rare_words), np.int32, len(rare))
         j = np.maximum(self.j, 0)
         if len(v.words):
@@ -176,7 +180,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(train: DataFrame, shared: _Shared, vocabulary: Vocabulary, key_col: str = "id", rounds: int = ROUNDS,
-        rate: float = 0.01) -> np.ndarray:
+        rate: float = 0.015) -> np.ndarray:
     """Weights after ``rounds`` rounds; each training document is learnt from
     in one of them, chosen by a hash of its key."""
     weights = gru.pack(gru.initial(SIZES, SEED, *vocabulary.biases()), SIZES)

@@ -126,16 +126,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
     classes = rows.groupBy("a", "b").agg(F.min("id").alias("first"))
     offered = stage(_anchors(rows, half, window - half + 1), "offered")
-    repeated = (offered.groupBy("h").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-                .filter("lo <> hi").select("h"))
+    # written first, so that the join back is between plain exchanges and Spark can split a hot key
+    repeated = stage(offered.groupBy("h").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+                     .filter("lo <> hi").select("h"), "repeated")
     places = offered.join(repeated, "h").groupBy("a").agg(F.collect_set("pos").alias("places"))
     places = stage(classes.join(places, "a"), "places")
     dealt = rows.repartition("a", "b")
     candidates = dealt.join(places, (dealt["a"] == places["a"]) & (dealt["b"] == places["b"])
                             & (dealt["id"] == places["first"])).select(dealt["a"], dealt["id"], "text", "places")
     found = stage(_extended(candidates, window, half), "windows")
-    earliest = (found.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-                .filter("lo < hi").select("h", "g", "lo"))
+    earliest = stage(found.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+                     .filter("lo < hi").select("h", "g", "lo"), "earliest")
     hits = (found.join(earliest, ["h", "g"]).filter("id > lo")
             .groupBy("a", F.col("id").alias("first")).agg(F.collect_set("start").alias("starts")))
     marks = stage(classes.join(hits, ["a", "first"], "left"), "marks")
