@@ -1,0 +1,412 @@
+"""Each operator against brute force on small fixtures, and its edge cases."""
+
+import random
+import zlib
+from collections import Counter
+from math import log10
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from basketry.llm import chat, gru, licenses, lm, packing, quality, secrets, simhash, substring, warc, winnow
+from basketry.llm.queries import QUERIES, SQL
+from tests.llm.helpers import SMALL, edge_rows, prose, same_as_sql, table
+
+
+@pytest.mark.parametrize("key", sorted(SQL))
+def test_sql(spark, key):
+    same_as_sql(spark, QUERIES[key], SQL[key])
+
+
+# --- 1 language model
+
+def test_lm_base_and_gain(spark):
+    rows = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.01").collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    tokens = {i: t.encode().lower().split() + [b""] for i, t in docs.items()}
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
+    c = Counter(w for i, ws in tokens.items() if not out[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    assert len(rows) == len(docs)
+    for r in rows:
+        ws = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (out[r["doc_id"]], len(ws), n)
+        assert r["n_known"] == sum(c[w] > 0 for w in ws)
+        assert r["base_score"] == pytest.approx(sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
+        assert r["score"] < 0
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_state_runs_through_and_sums_to_one():
+    import numpy as np
+    sizes = gru.shapes(9, 5, 2, 3, 4, 4)
+    p = gru.initial(sizes, 1, np.zeros(5), np.zeros((2, 3)))
+    sym = np.array([8, 1, 2, 3, 8, 4], np.int32)
+    first = np.array([True, False, False, False, True, False])
+    start, total = np.array([0]), np.array([6])
+    args = (sym, np.array([0, 1, 2, 3, 4, 0], np.int32), np.zeros(6, np.int32), first, start, total)
+    whole = gru.score(p, *args, steps=32)
+    assert np.allclose(whole, gru.score(p, *args, steps=2), atol=1e-5)  # carried across windows
+    total_p = np.zeros(6)
+    for c in range(5):
+        for w in range(3 if c < 2 else 1):
+            total_p += np.exp(gru.score(p, sym, np.full(6, c, np.int32), np.full(6, w, np.int32), first, start, total))
+    assert np.allclose(total_p, 1, atol=1e-4)
+
+
+def test_gru_gradient():
+    """One plain step along the gradient lowers the loss as it predicts."""
+    import numpy as np
+    r = np.random.default_rng(0)
+    sizes = gru.shapes(9, 5, 2, 3, 4, 4)
+    p = gru.initial(sizes, 1, np.zeros(5), np.zeros((2, 3)))
+    sym, cls, word = (r.integers(0, k, 12).astype(np.int32) for k in (9, 5, 3))
+    first = np.zeros(12, bool)
+    first[0] = True
+    args = (sym, cls, word, first, np.array([0]), np.array([12]))
+    grads = {}
+
+    def catch(p_, g, state, rate, scale):
+        grads.update(g)
+
+    keep, gru._adam = gru._adam, catch
+    try:
+        gru.train(p, *args, {}, 0.1, steps=12, clip=1e9)
+    finally:
+        gru._adam = keep
+    loss = lambda q: -float(gru.score(q, *args).astype(np.float64).mean())
+    for k, g in grads.items():
+        e = 1e-2 / (np.abs(g).max() + 1e-9) * 0.1
+        up = loss(p | {k: p[k] + e * g.astype(np.float32)}) - loss(p | {k: p[k] - e * g.astype(np.float32)})
+        assert up == pytest.approx(2 * e * float((g * g).sum()), rel=0.08, abs=2e-6), k
+
+
+# --- 2 SimHash
+
+def _simhash(text):
+    w = text.encode().lower().split()
+    if not w:
+        return 0
+    s = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_simhash_components(spark):
+    r, rows = random.Random(5), []
+    for k in range(12):
+        words = prose(k, 150).split()
+        for c in range(6):
+            for _ in range(c):
+                words[r.randrange(len(words))] = f"x{r.randrange(9)}"
+            rows.append((100 * k + c, " ".join(words)))
+    rows += edge_rows()
+    got = simhash.near_duplicates(table(spark, rows)).collect()
+    fp = {t: _simhash(t or "") for _, t in rows}
+    values = sorted(set(fp.values()))
+    parent = {f: f for f in values}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a in values:
+        for b in values:
+            if a < b and (a ^ b).bit_count() <= 3:
+                parent[root(a)] = root(b)
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[root(fp[t])] = min(i, least.get(root(fp[t]), i))
+    want = sorted((str(i), f"{fp[t]:016x}", least.get(root(fp[t]))) for i, t in rows)
+    assert sorted((str(x["id"]), x["fingerprint"], x["component_id"]) for x in got) == want
+
+
+def test_simhash_links_dense_ball(spark):
+    """A ball of fingerprints in which most pairs link, and its far members."""
+    r = random.Random(2)
+    values = {0}
+    for _ in range(250):
+        f = 0
+        for b in r.sample(range(64), r.choice([1, 2, 3, 5, 6])):
+            f |= 1 << b
+        values.add(f if f < 1 << 63 else f - (1 << 64))
+    nodes = spark.createDataFrame([(f, 9 if f == 0 else 1) for f in values], "fp long, n long")
+    from basketry.llm.graph import components
+    label = {x["node"]: x["label"] for x in components(simhash.links(nodes)).collect()}
+    u = {f: f & (1 << 64) - 1 for f in values}
+    left = set(values)
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            f = todo.pop()
+            part.add(f)
+            near = {g for g in left if (u[f] ^ u[g]).bit_count() <= 3}
+            left -= near
+            todo += near
+        assert {label.get(f, f) for f in part} == {min(part)}
+
+
+# --- 3 quality
+
+def _base(text):
+    w = text.encode().split()
+    grams = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    hit = {j for i in range(len(w) - 2) if grams[tuple(w[i:i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    return (len(w), sum(len(x.decode()) for x in w), sum(ch in "#*$%&|<>" for ch in text), len(lines) - len(set(lines)), len(hit))
+
+
+def test_quality_counts(spark):
+    rows = edge_rows() + [(20, "a b c\n\na b c\n a b c\nx # $"), (21, prose(9, 400, 4)), (22, "a b a b a b a b " * 30)]
+    got = quality.judged(table(spark, rows), {"table": [0.0], "buckets": 1, "threshold": None}).collect()
+    want = sorted((str(i), *_base(t or "")) for i, t in rows)
+    cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert sorted((str(r["id"]), *(r[c] for c in cols)) for r in got) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"])
+
+
+def test_quality_parts_good_from_bad(spark):
+    rows = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    told = rows.filter("not base_failed").join(labels, "doc_id")
+    lost = told.filter("quality = 1 and not kept").count()
+    missed = told.filter("quality = 0 and kept").count()
+    assert lost <= 0.01 * told.filter("quality = 1").count() and missed <= 0.05 * told.filter("quality = 0").count() + 1
+
+
+def test_quality_without_labels(spark):
+    docs = table(spark, [(1, prose(1, 100)), (2, "short")])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, none)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [1]
+
+
+# --- 4 chat
+
+def test_chat_trees(spark):
+    rows = [("t", 1, None, "user", "a<|end|>\n[b]\\l", 0.0), ("t", 2, 1, "assistant", "x</s>", 1.0), ("t", 3, 1, "assistant", None, 3.0),
+            ("t", 4, 3, "us\ner", "q", None), ("t", 5, 4, "assistant", "z\\s", 5.0), (None, 1, 99, "user", "", None),
+            ("c", 1, 2, "user", "cycle", 1.0), ("c", 2, 1, "user", "cycle", 1.0), ("c", 3, 1, "user", "below", 1.0)]
+    m = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    out = chat.format_trees(m).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
+        "learnt", chat.read_loss(F.col("formatted"), F.col("loss"))).collect()
+    got = {(r["tree"], r["leaf"]): ([tuple(t) for t in r["turns"]], r["learnt"], r["rank"]) for r in out}
+    first = ("user", "a<|end|>\n[b]\\l")
+    assert got == {("t", 2): ([first, ("assistant", "x</s>")], "x</s>", 2),
+                   ("t", 5): ([first, ("assistant", ""), ("us\ner", "q"), ("assistant", "z\\s")], "z\\s", 1),
+                   (None, 1): ([("user", "")], "", 1)}
+    assert [(r["tree"], r["leaf"]) for r in chat.format_trees(m, keep=1).filter("tree = 't'").collect()] == [("t", 5)]
+    assert chat.format_trees(m.limit(0)).count() == 0
+
+
+# --- 5 substrings
+
+def test_substring_brute(spark):
+    r = random.Random(3)
+    shared = [prose(100 + k, 14, 30).split() for k in range(6)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(r.randrange(6)):
+            words += r.choice(shared)[r.randrange(4):] if r.random() < 0.6 else prose(r.random(), 9, 30).split()
+        rows.append((r.choice([i, i, None]), " ".join(words)))
+    rows += [(70, rows[5][1]), (71, rows[5][1] + "  "), (72, None), (73, "")]
+    n, key = 7, lambda i: float("inf") if i is None else i
+    first = {}
+    split = [(i, (t or "").split()) for i, t in rows]
+    for i, w in split:
+        for s in range(len(w) - n + 1):
+            x = tuple(w[s:s + n])
+            first[x] = min(first.get(x, key(i)), key(i))
+    want = []
+    for i, w in split:
+        gone = {j for s in range(len(w) - n + 1) if first[tuple(w[s:s + n])] < key(i) for j in range(s, s + n)}
+        want.append((str(i), len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = substring.remove_repeats(table(spark, rows), window=n).collect()
+    assert sorted((str(x["id"]), x["n_words"], x["n_removed"], x["kept"]) for x in got) == sorted(want)
+    assert all(x["n_removed"] == sum(s["length"] for s in x["removed"]) for x in got)
+
+
+# --- 6 licences
+
+def test_license_forms(spark):
+    mit = next(t for k, t in licenses.KNOWN if k == "MIT" and "Permission" in t)
+    rows = [(1, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace("LICENSE", "licence")), (2, "intro words\n\nLicenced under the APACHE licence; version 2.0"),
+            (3, "This is not Released under the MIT License."), (4, "x\n" + mit)] + edge_rows()
+    got = {r["id"]: r for r in licenses.scan(table(spark, rows)).collect() if r["id"] in (1, 2, 3, 4)}
+    assert got[1]["text_license"] == "MIT" and got[2]["licenses"] == ["Apache-2.0"] and got[2]["text_license"] is None
+    assert got[3]["licenses"] == [] and licenses.scan(table(spark, rows)).count() == len(rows)
+    empty = spark.createDataFrame([], "license string, text string")
+    assert licenses.scan(table(spark, rows[:2]), empty).filter("size(licenses) > 0").count() == 0
+
+
+# --- 7 secrets
+
+def _keys(n):
+    r = random.Random(8)
+    out = []
+    for k in range(n):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        decoy = r.choice([f"user{k}@mail{k}.example.com", str(10**15 + k), f"10.20.30.{100 + k}"])
+        out.append((k, f'{prose(k, 20)} token = "{key}" {prose(k + 1, 10)} {decoy} end', key))
+    return out
+
+
+def test_secrets_found_and_masked(spark):
+    made = _keys(80)
+    docs = table(spark, [(i, t) for i, t, _ in made] + edge_rows())
+    out = secrets.scan(docs).filter("is_secret").collect()
+    assert {r["value"] for r in out} == {k for *_, k in made}
+    clean = secrets.mask_secrets(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    texts = {r["doc_id"]: r for r in clean.filter("doc_id < 80").collect()}
+    for i, t, k in made:
+        if sum(i == j for j, _ in edge_rows()) == 0:
+            assert texts[i]["text"] == t.replace(k, secrets.MASK) and texts[i]["n_chars"] == len(texts[i]["text"])
+
+
+def test_secrets_held_out_accuracy(spark):
+    docs = table(spark, [(i, t) for i, t, _ in _keys(120)])
+    found = secrets.findings(docs)
+    rows = secrets.rule_labels(secrets.described(found, secrets.dictionary(docs, found)))
+    model = secrets.fit(secrets.train_sample(rows.filter("id % 2 = 0")))
+    held = secrets.judge(rows.filter("id % 2 = 1"), model)
+    wrong = held.filter("label is not null and label <> cast(is_secret as int)").count()
+    assert held.filter("label = 1").count() == 60 and wrong <= 1
+
+
+def test_secrets_one_class(spark):
+    docs = table(spark, [(1, "call 1234567890123456 now"), (2, None)])
+    assert secrets.scan(docs).filter("is_secret").count() == 0
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+# --- 8 packing
+
+def test_packing_whole_texts(spark):
+    from tokenizers import Tokenizer
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(table(spark, [(9001, None), (9002, ""), (9003, "ÉTÉ's  ok<|endoftext|>x y z don't " * 700)]).select("doc_id", "text"))
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
+    got, seen = {}, set()
+    for r in packing.pack(docs).orderBy("id", "start").collect():
+        ids = [int.from_bytes(r["ids"][k:k + 4], "little") for k in range(0, len(r["ids"]), 4)]
+        assert r["start"] == len(got.setdefault(r["id"], [])) and len(ids) == r["length"] == 1 << r["bucket"] <= 2048
+        got[r["id"]] += ids
+        assert r["offset"] == 0 and r["sequence_id"] not in seen and r["doc_tokens"] == len(want[r["id"]])
+        seen.add(r["sequence_id"])
+    assert got == want
+
+
+# --- 9 decontamination
+
+def test_winnow_short_items(spark):
+    r = random.Random(11)
+    items = [(k, prose(k, n, 25)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 14, 20])] + [(90, None), (91, "!!"), (92, "W3 w4")]
+    rows = edge_rows()
+    for k in range(30):
+        parts = [prose(1000 + k, 12, 25)]
+        if k % 2:
+            parts.append(r.choice(items)[1] or "")
+        rows.append((100 + k, ", ".join(parts) + ". " + prose(k, 8, 25)))
+    import re
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower().decode()) if w]
+    wins = {}
+    for i, t in items:
+        w = words(t)
+        m = min(10, len(w))
+        for s in range(len(w) - m + 1 if m else 0):
+            wins.setdefault(tuple(w[s:s + m]), set()).add(str(i))
+    want = []
+    for i, t in rows:
+        w, hit, found = words(t), set(), set()
+        for m in {len(x) for x in wins}:
+            for s in range(len(w) - m + 1):
+                if tuple(w[s:s + m]) in wins:
+                    hit |= set(range(s, s + m))
+                    found |= wins[tuple(w[s:s + m])]
+        want.append((str(i), len(w), len(hit), sorted(found)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, rows)
+    got = winnow.contaminated(docs, bench).collect()
+    assert sorted((str(x["id"]), x["n_words"], x["n_hit"], x["items"]) for x in got) == sorted(want)
+    clean = winnow.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(not x[2] for x in want)
+    assert winnow.keep_clean(docs, bench.limit(0)).count() == len(rows)
+
+
+# --- 10 WARC
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(3, "http://a/\n", "same"), (1, None, "same"), (2, "u", "same"), (4, "u", None), (5, "u", ""), (6, "u", "é\r\n\r\nWARC/1.1\r\n" * 3),
+            (7, "u", "x" * 300_000), (None, "u", "same"), (1, None, "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for packed in ("none", "gzip"):
+        warc.write_archives(pages, str(tmp_path / packed), packed, per_file=2)
+        got = warc.load_archives(spark, str(tmp_path / packed)).withColumn("page", warc.page_of(F.col("record_id"))).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            html = next(h or "" for i, _, h in rows if i == r["page"])
+            assert r["payload_bytes"] == len(html.encode())
+            assert r["kind"] == ("revisit" if r["page"] in (2, 3, 5) else "response")
+            if r["kind"] == "response":
+                assert bytes(r["payload"]).decode() == html
+            else:
+                assert r["refers_to"] == ("<urn:page:4>" if r["page"] == 5 else "<urn:page:1>")
+    assert warc.read_archives(spark.createDataFrame([("a", None), ("b", bytearray())], "path string, content binary")).count() == 0
+
+
+def _made(k, body):
+    import base64
+    import hashlib
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    return (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Payload-Digest: sha1:{digest}\r\n"
+            f"Content-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def test_warc_salvage():
+    import gzip
+    parts = [_made(k, f"payload {k} ".encode() * 200) for k in range(5)]
+    at = [sum(map(len, parts[:k])) for k in range(6)]
+    plain = bytearray(b"".join(parts))
+    plain[at[2] + len(parts[2]) // 2] ^= 0xFF
+    got = list(warc.salvage(bytes(plain)))
+    assert [(r["kind"], r["offset"], r["length"]) for r in got] == [
+        ("gap" if k == 2 else "resource", at[k], len(parts[k])) for k in range(5)] and got[2]["problem"] == "bad digest"
+    members = [gzip.compress(p) for p in parts]
+    at = [sum(map(len, members[:k])) for k in range(6)]
+    whole = bytearray(b"".join(members))
+    whole[at[1] + 40] ^= 0xFF
+    got = list(warc.salvage(bytes(whole[:-9])))
+    assert [r["record_id"] for r in got if r["kind"] != "gap" and r.get("inner") == 0][:3] == [f"<urn:page:{k}>" for k in (0, 2, 3)]
+    gaps = [(r["offset"], r["length"]) for r in got if r["kind"] == "gap"]
+    assert gaps == [(at[1], len(members[1])), (at[4], len(members[4]) - 9)]
+    assert [r["kind"] for r in warc.salvage(b"junk that is no archive")] == ["gap"] and list(warc.salvage(b"")) == []
+    assert [r["kind"] for r in warc.salvage(b"junk" + parts[0])] == ["gap", "resource"]
+
+
+# --- all on awkward tables
+
+def test_edge_tables(spark):
+    bench = spark.createDataFrame([(1, prose(2, 30))], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, None), (None, 1, 0), (6, None, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    n = len(edge_rows())
+    for docs, rows in ((table(spark, edge_rows()), n), (table(spark, []), 0)):
+        assert lm.score(docs).count() == rows
+        assert simhash.near_duplicates(docs).count() == rows
+        assert quality.judged(docs, quality.fit(docs, labels)).count() == rows
+        assert quality.keep_good(docs, labels).columns == docs.columns
+        assert substring.remove_repeats(docs).count() == rows
+        assert licenses.scan(docs).count() == rows
+        assert packing.pack(docs).select("id").count() >= rows
+        assert winnow.contaminated(docs, bench).count() == rows
+        one = simhash.keep_representatives(docs)
+        # no words: ids 3, 4, 7 and one without id are one component; 5 is there twice
+        assert one.columns == docs.columns and one.count() == (n - 4 if rows else 0)
