@@ -20,6 +20,7 @@ grows with the corpus is broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -55,9 +56,13 @@ def tail_of(word: Column) -> Column:
 
 
 def _tail(word: bytes) -> int:
+    return _tail_of_end(word.decode("utf-8", "replace")[-2:])
+
+
+@lru_cache(maxsize=100_000)
+def _tail_of_end(last: str) -> int:
     import xxhash
-    last = word.decode("utf-8", "replace")[-2:].encode("utf-8")
-    h = xxhash.xxh64_intdigest(last, 42)
+    h = xxhash.xxh64_intdigest(last.encode("utf-8"), 42)
     return (h - (1 << 64) if h >> 63 else h) % TAILS
 
 
@@ -67,13 +72,27 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """The words of the highest counts, at most ``most``: a cut between
+    steps of the count's logarithm, so no sort of all words is needed and
+    only the chosen rows come to the driver."""
+    step = F.floor(F.log("c") * 200).cast("int")
+    cut, total = None, 0
+    for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():  # under 9,000 steps
+        total += r["n"]
+        if total > most:
+            break
+        cut = r["s"]
+    return [] if cut is None else counts.filter(step >= cut).collect()
+
+
 class Vocabulary:
     """The bounded part of the counts, and the classes' totals."""
 
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.n, self.v = int(total[0]), int(total[1])
-        top = (counts.filter(F.col("w") != END).orderBy(F.desc("c"), "w").limit(KNOWN).collect())
+        top = sorted(_most_frequent(counts.filter(F.col("w") != END), KNOWN), key=lambda r: (-r["c"], r["w"]))
         ends = counts.filter(F.col("w") == END).first()
         self.ends = int(ends["c"]) if ends else 0
         self.words = [r["w"].encode("utf-8") for r in top]
@@ -234,7 +253,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             c = _Coded(b["text"].tolist(), numbers, v)
             place, flat = c.in_lanes()
             lp = np.empty(len(place))
-            lp[place] = gru.score(p, *flat)
+            lp[place] = gru.score(p, *flat, 2 * STEPS)
             n, known = len(b), c.j >= 0
             end = c.j == -2
             base = np.zeros(len(lp))
@@ -244,16 +263,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             model[known] += v.within[c.j[known]]
             by = lambda x: np.bincount(c.doc, x, n)
             left = np.searchsorted(c.doc[c.rare], np.arange(n + 1))
-            words = [w.decode("utf-8", "replace") for w in c.rare_words]
             yield pd.DataFrame({
                 "id": b["id"].astype("Int64"), "held_out": b["held_out"], "n_tokens": c.lengths,
                 "n_known": (by(known) + (v.ends > 0)).astype(np.int64), "base": by(base) - v.floor * c.lengths,
-                "model": by(model), "rare": [words[left[k]:left[k + 1]] for k in range(n)]})
+                "model": by(model), "rare": [b" ".join(c.rare_words[left[k]:left[k + 1]]).decode("utf-8", "replace") for k in range(n)]})
 
     first = stage(rows.mapInPandas(run, "id long, held_out boolean, n_tokens long, n_known long, base double, model double, "
-                                   "rare array<string>").withColumn("rid", F.monotonically_increasing_id()), "scored")
+                                   "rare string").withColumn("rid", F.monotonically_increasing_id()), "scored")
     totals = F.array(*(F.lit(float(c + 0.1 * (v + 1))) for c, v in vocabulary.tail_totals))
-    rare = first.select("rid", F.explode("rare").alias("w")).groupBy("w", "rid").agg(F.count("*").alias("k"))
+    rare = first.filter("rare <> ''").select("rid", F.explode(F.split("rare", " ")).alias("w")).groupBy("w", "rid").agg(F.count("*").alias("k"))
     found = rare.join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = found.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"),
