@@ -20,12 +20,12 @@ from basketry.llm.text import whole
 
 BROADCAST_ROWS = 50_000
 
-# A line that only states the copyright.
-COPYRIGHT_LINE = r"(?im)^[^0-9A-Za-z\n]*(copyright|\(c\)|©)[^\n]*$"
+# A line that states who holds the copyright: it has a sign or a year.
+COPYRIGHT_LINE = r"(?im)^[^0-9A-Za-z\n]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*$"
 NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}\n]+"
 # Equivalent spellings, after lower case and punctuation.
 SPELLINGS = (
-    (r"\blicen[cs]e(s|d|e|es)?\b", "license$1"),
+    (r"\b(sub)?licen[cs]e(s|d|e|es)?\b", "$1license$2"),
     (r"\b(auth|col|fav|hon|behavi|endeav)our(s|ed|able)?\b", "$1or$2"),
     (r"\b(author|organ|recogn|util|custom|initial)is(e|es|ed|ing|ation|ations)\b", "$1iz$2"),
     (r"\b(judg|acknowledg)ement(s)?\b", "$1ment$2"),
