@@ -108,15 +108,18 @@ def demo_picks(split: DataFrame, n_churned: int = 3, n_retained: int = 2) -> Dat
     return a.unionByName(b).drop("__h")
 
 
-def inverse_scale(centroids: DataFrame, stats_src: DataFrame, columns: Sequence[str],
-                  digits: int = 2) -> DataFrame:
+# Decimals shown per column of the centroid table, 2 for others.
+CENTROID_DIGITS = {"tenure": 1, "MonthlyCharges": 2, "TotalCharges": 0}
+
+
+def inverse_scale(centroids: DataFrame, stats_src: DataFrame, columns: Sequence[str]) -> DataFrame:
     """scaled centroid coordinates back to original units, rounded."""
     from basketry.operators.stats import column_stats
     st = column_stats(stats_src, columns)
     out = []
     for c in columns:
         mean, std = F.lit(st[c][0]), F.lit(st[c][1])
-        out.append((F.round(F.col(c) * std + mean, digits) + F.lit(0.0)).alias(c))
+        out.append((F.round(F.col(c) * std + mean, CENTROID_DIGITS.get(c, 2)) + F.lit(0.0)).alias(c))
     return centroids.select("cluster", *out)
 
 

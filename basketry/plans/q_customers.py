@@ -553,9 +553,9 @@ def m7(spark, sf):
 
 @register("F7_centroids_original", with_(_CENTROID_SQL) + "SELECT cluster, " + ", ".join(
     f"round(round({c}, 6) * (SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM cust) + "
-    f"(SELECT avg(CAST({c} AS DOUBLE)) FROM cust), 2) + 0.0 AS {c}" for c in _SEG) + " FROM cz")
+    f"(SELECT avg(CAST({c} AS DOUBLE)) FROM cust), {dict(tenure=1, TotalCharges=0).get(c, 2)}) + 0.0 AS {c}" for c in _SEG) + " FROM cz")
 def f7(spark, sf):
-    """centroids back in original units, rounded to 2."""
+    """centroids back in original units, rounded per column."""
     c, cz = _centroids_given(spark, sf)
     return features.inverse_scale(cz, c, _SEG)
 

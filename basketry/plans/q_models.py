@@ -31,9 +31,8 @@ _CUSTOMER_INPUTS = ["orders", "customer", "nation", "region", "lineitem", "event
 def _model(spark, sf, name, fit, **params):
     """Fitted model memoised by (input data version, parameters)."""
     from basketry.sources.cache import cached_model
-    tr, _ = _train_test(spark, sf)
     inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in _CUSTOMER_INPUTS]
-    return cached_model(spark, name, inputs, params, lambda: fit(tr, **params))
+    return cached_model(spark, name, inputs, params, lambda: fit(_train_test(spark, sf)[0], **params))
 
 
 def lr_model(spark, sf):

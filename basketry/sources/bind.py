@@ -47,7 +47,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str, with_country: bool = True
     if with_country:
         nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
         cust = (read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
-                .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")))
+                .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
         df = df.join(cust, F.col("o_custkey") == F.col("c_custkey"))
         cols.append(F.col("n_name").alias("Country"))
     cols.append(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -86,7 +86,7 @@ def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey))
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
 
     df = (cust.join(geo, cust.c_nationkey == geo.n_nationkey)

@@ -11,13 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column layout of the customer CSV.
-CUSTOMER_CATEGORICALS_CSV = [
-    "gender", "Partner", "Dependents", "PhoneService", "MultipleLines",
-    "InternetService", "OnlineSecurity", "OnlineBackup", "DeviceProtection",
-    "TechSupport", "StreamingTV", "StreamingMovies", "Contract",
-    "PaperlessBilling", "PaymentMethod",
-]
-
 CUSTOMER_CSV_SCHEMA = T.StructType(
     [T.StructField("customerID", T.StringType())]
     + [T.StructField("gender", T.StringType()),

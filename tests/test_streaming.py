@@ -22,3 +22,14 @@ def test_churn_stream_replay_is_idempotent(spark):
     assert again == first
     w = spark.read.parquet(f"{out}/weights")
     assert w.groupBy("batch_id").count().filter(F.col("count") != 1).count() == 0
+
+
+def test_read_or_empty_raises_on_damage(spark, tmp_path):
+    import pytest
+    from basketry.streaming.common import read_or_empty
+    assert read_or_empty(spark, str(tmp_path / "absent"), "a int").count() == 0
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.raises(Exception):
+        read_or_empty(spark, str(bad), "a int").count()
