@@ -237,11 +237,11 @@ def test_substring_brute(spark):
 
 def test_license_forms(spark):
     mit = next(t for k, t in licenses.KNOWN if k == "MIT" and "Permission" in t)
-    rows = [(1, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace("LICENSE", "licence")), (2, "intro words\n\nLicenced under the APACHE licence; version 2.0"),
-            (3, "This is not Released under the MIT License."), (4, "x\n" + mit)] + edge_rows()
-    got = {r["id"]: r for r in licenses.scan(table(spark, rows)).collect() if r["id"] in (1, 2, 3, 4)}
-    assert got[1]["text_license"] == "MIT" and got[2]["licenses"] == ["Apache-2.0"] and got[2]["text_license"] is None
-    assert got[3]["licenses"] == [] and licenses.scan(table(spark, rows)).count() == len(rows)
+    rows = [(31, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace("LICENSE", "licence")), (32, "intro words\n\nLicenced under the APACHE licence; version 2.0"),
+            (33, "This is not Released under the MIT License."), (34, "x\n" + mit)] + edge_rows()
+    got = {r["id"]: r for r in licenses.scan(table(spark, rows)).collect() if r["id"] in (31, 32, 33, 34)}
+    assert got[31]["text_license"] == "MIT" and got[32]["licenses"] == ["Apache-2.0"] and got[32]["text_license"] is None
+    assert got[33]["licenses"] == [] and licenses.scan(table(spark, rows)).count() == len(rows)
     empty = spark.createDataFrame([], "license string, text string")
     assert licenses.scan(table(spark, rows[:2]), empty).filter("size(licenses) > 0").count() == 0
 
