@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from basketry.llm.text import whole
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 300_000  # per Python worker; emptied when full
+CACHE_WORDS = 800_000  # per Python worker; emptied when full
 CACHED_BYTES = 64      # longer words are encoded each time
 ROWS = 200             # documents per batch handed back to Spark
 _state: dict = {}
@@ -44,6 +44,17 @@ def _encoder(path: str):
     return _state["tokenizer"], _state["cache"]
 
 
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """What to encode for a word: plain ASCII in lower case, as the
+    vocabulary's normaliser does, and a comma or full stop after an ASCII
+    letter or digit apart, as its pre-tokeniser does."""
+    if word.isascii() and b"<|" not in word:
+        word = word.lower()
+    if len(word) > 1 and word[-1:] in b",." and word[-2:-1].isalnum():
+        return word[:-1], word[-1:]
+    return (word,)
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit values."""
     from array import array
@@ -52,15 +63,20 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if len(cache) > CACHE_WORDS:
         cache.clear()
     split = [t.encode("utf-8", "replace").split() for t in texts]
-    new = list({w for words in split for w in words if w not in cache})
+    new = {w for words in split for w in words if w not in cache}
+    parts = {w: _parts(w) for w in new}
     once: dict[bytes, bytes] = {}
-    for at in range(0, len(new), 4096):
-        part = new[at:at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
+    todo = list({x for two in parts.values() for x in two if x not in cache})
+    for at in range(0, len(todo), 4096):
+        some = todo[at:at + 4096]
+        for w, e in zip(some, tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
             ids = array("I", e.ids)
             if sys.byteorder == "big":
                 ids.byteswap()
             (cache if len(w) <= CACHED_BYTES else once)[w] = ids.tobytes()
+    for w, two in parts.items():
+        if w not in cache and w not in once:
+            (cache if len(w) <= CACHED_BYTES else once)[w] = b"".join(once[x] if x in once else cache[x] for x in two)
     if once:
         return [b"".join([once[w] if w in once else cache[w] for w in words]) for words in split]
     get = cache.__getitem__
