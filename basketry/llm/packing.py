@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from basketry.llm.text import whole
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 800_000  # per Python worker; emptied when full
+CACHE_WORDS = 1_200_000  # per Python worker; emptied when full
 CACHED_BYTES = 64      # longer words are encoded each time
 ROWS = 200             # documents per batch handed back to Spark
 _state: dict = {}
@@ -40,7 +41,11 @@ def _encoder(path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _state.update(path=path, tokenizer=tokenizer, cache={}, ends=ends)
     return _state["tokenizer"], _state["cache"]
 
 
@@ -55,25 +60,38 @@ def _parts(word: bytes) -> tuple[bytes, ...]:
     return (word,)
 
 
+def _ids_of(words: list[bytes], tokenizer, ends: np.ndarray) -> Iterator[bytes]:
+    """The ids of each word.  Runs of letters are one pre-token each, so a
+    joined text of them is parted again at the tokens that end a word; where
+    the number of ends is not that of the words, and for all other words,
+    each is encoded by itself."""
+    text = [w.decode("utf-8") for w in words]
+    if len(words) > 1 and all(map(str.isalpha, text)):
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(text)], add_special_tokens=False)[0].ids, "<u4")
+        stop = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+        if len(stop) == len(words):
+            raw = ids.tobytes()
+            return (raw[lo:hi] for lo, hi in zip([0, *stop], stop))
+    made = tokenizer.encode_batch_fast(text, add_special_tokens=False)
+    return (np.array(e.ids, "<u4").tobytes() for e in made)
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit values."""
-    from array import array
-    import sys
     tokenizer, cache = _encoder(path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
     split = [t.encode("utf-8", "replace").split() for t in texts]
-    new = {w for words in split for w in words if w not in cache}
+    new = set().union(*split).difference(cache)
     parts = {w: _parts(w) for w in new}
     once: dict[bytes, bytes] = {}
-    todo = list({x for two in parts.values() for x in two if x not in cache})
-    for at in range(0, len(todo), 4096):
-        some = todo[at:at + 4096]
-        for w, e in zip(some, tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
-            ids = array("I", e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            (cache if len(w) <= CACHED_BYTES else once)[w] = ids.tobytes()
+    todo = {x for two in parts.values() for x in two}.difference(cache)
+    letters = [w for w in todo if w.isalpha() or w.decode("utf-8").isalpha()]
+    for words in (letters, list(todo.difference(letters))):
+        for at in range(0, len(words), 512):
+            some = words[at:at + 512]
+            for w, ids in zip(some, _ids_of(some, tokenizer, _state["ends"])):
+                (cache if len(w) <= CACHED_BYTES else once)[w] = ids
     for w, two in parts.items():
         if w not in cache and w not in once:
             (cache if len(w) <= CACHED_BYTES else once)[w] = b"".join(once[x] if x in once else cache[x] for x in two)
