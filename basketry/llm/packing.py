@@ -15,10 +15,11 @@ joined ids of its words (tests compare with whole-text encoding).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,10 @@ from basketry.llm.text import whole
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 1_200_000  # per Python worker; emptied when full
 CACHED_BYTES = 64      # longer words are encoded each time
-ROWS = 200             # documents per batch handed back to Spark
+ROWS = 500             # documents per batch handed back to Spark
+_PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
+                     ("doc_tokens", pa.int64()), ("bucket", pa.int32())])
+_MARK = re.compile(rb"(?<=[A-Za-z0-9])[.,;:!?)](?!\S)")
 _state: dict = {}
 
 
@@ -49,15 +53,16 @@ def _encoder(path: str):
     return _state["tokenizer"], _state["cache"]
 
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """What to encode for a word: plain ASCII in lower case, as the
-    vocabulary's normaliser does, and a comma or full stop after an ASCII
-    letter or digit apart, as its pre-tokeniser does."""
-    if word.isascii() and b"<|" not in word:
-        word = word.lower()
-    if len(word) > 1 and word[-1:] in b",." and word[-2:-1].isalnum():
-        return word[:-1], word[-1:]
-    return (word,)
+def _words(text: str) -> list[bytes]:
+    """What to encode one by one: a text's words, ASCII in lower case, as the
+    vocabulary's normaliser does, and one mark between an ASCII letter or
+    digit and white space apart, as its pre-tokeniser does.  A text that may
+    name special tokens keeps its case, and so does one with combining marks
+    (U+0300 to U+037F), which the normaliser composes before it lowers."""
+    raw = text.encode("utf-8", "replace")
+    if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = raw.lower()
+    return _MARK.sub(rb" \g<0>", raw).split()
 
 
 def _ids_of(words: list[bytes], tokenizer, ends: np.ndarray) -> Iterator[bytes]:
@@ -81,24 +86,17 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     tokenizer, cache = _encoder(path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    split = [t.encode("utf-8", "replace").split() for t in texts]
+    split = [_words(t) for t in texts]
     new = set().union(*split).difference(cache)
-    parts = {w: _parts(w) for w in new}
-    once: dict[bytes, bytes] = {}
-    todo = {x for two in parts.values() for x in two}.difference(cache)
-    letters = [w for w in todo if w.isalpha() or w.decode("utf-8").isalpha()]
-    for words in (letters, list(todo.difference(letters))):
-        for at in range(0, len(words), 512):
-            some = words[at:at + 512]
-            for w, ids in zip(some, _ids_of(some, tokenizer, _state["ends"])):
-                (cache if len(w) <= CACHED_BYTES else once)[w] = ids
-    for w, two in parts.items():
-        if w not in cache and w not in once:
-            (cache if len(w) <= CACHED_BYTES else once)[w] = b"".join(once[x] if x in once else cache[x] for x in two)
-    if once:
-        return [b"".join([once[w] if w in once else cache[w] for w in words]) for words in split]
-    get = cache.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    letters = {w for w in new if w.isalpha() or w.decode("utf-8").isalpha()}
+    for some_kind in (list(letters), list(new - letters)):
+        for at in range(0, len(some_kind), 512):
+            some = some_kind[at:at + 512]
+            cache.update(zip(some, _ids_of(some, tokenizer, _state["ends"])))
+    out = [b"".join(map(cache.__getitem__, words)) for words in split]
+    for w in [w for w in new if len(w) > CACHED_BYTES]:
+        del cache[w]
+    return out
 
 
 def pieces(n: int, max_len: int) -> list[int]:
@@ -123,21 +121,26 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, len(b), ROWS):
-                part = b.iloc[lo:lo + ROWS]
-                out = []
-                for i, ids in zip(part["id"], encode(part["text"].tolist(), path)):
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                cols: dict[str, list] = {f.name: [] for f in _PIECES}
+                for i, ids in zip(part.column("id").to_pylist(), encode(part.column("text").to_pylist(), path)):
                     ids += end
                     total, start = len(ids) // 4, 0
-                    for n in pieces(total, max_len):
-                        out.append((i, start, n, ids[4 * start:4 * (start + n)], total, n.bit_length() - 1))
+                    cut = pieces(total, max_len)
+                    for n in cut:
+                        cols["start"].append(start)
+                        cols["ids"].append(ids[4 * start:4 * (start + n)])
                         start += n
-                frame = pd.DataFrame(out, columns=["id", "start", "length", "ids", "doc_tokens", "bucket"])
-                yield frame.astype({"id": "Int64"})
+                    cols["length"] += cut
+                    cols["id"] += [i] * len(cut)
+                    cols["doc_tokens"] += [total] * len(cut)
+                    cols["bucket"] += [n.bit_length() - 1 for n in cut]
+                yield pa.RecordBatch.from_pydict(cols, schema=_PIECES)
 
-    made = rows.mapInPandas(run, "id long, start long, length long, ids binary, doc_tokens long, bucket int")
+    made = rows.mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, bucket int")
     return made.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
