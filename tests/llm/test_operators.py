@@ -292,7 +292,9 @@ def test_secrets_one_class(spark):
 def test_packing_whole_texts(spark):
     from tokenizers import Tokenizer
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(table(spark, [(9001, None), (9002, ""), (9003, "ÉTÉ's  ok<|endoftext|>x y z don't " * 700)]).select("doc_id", "text"))
+    docs = docs.unionByName(table(spark, [(9001, None), (9002, ""), (9003, "ÉTÉ's  ok<|endoftext|>x y z don't " * 700),
+                                         (9004, "H\u0331 I\u0307\u0316 W\u030a. A\u030a, (OK). a.) \"X\". it's. 3.) 4; İstanbul DİYARBAKIR ǅ ʰ ⅷ ß ١٢٣ 한국어 中文字。 end."),
+                                         (9005, "x" * 5000 + ". Ab, " * 50)]).select("doc_id", "text"))
     t = Tokenizer.from_file(packing.tokenizer_path())
     want = {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
     got, seen = {}, set()
