@@ -1,8 +1,11 @@
 """WARC archives: a writer and a salvage reader.
 
-Writer: one record per page as text, written with Spark's text writer (its
-line separator is the record's closing blank lines), so files appear through
-Spark's commit protocol in any store Spark writes to.  Pages with equal
+Writer: one record per page, written with Spark's text writer, so files appear
+through Spark's commit protocol in any store Spark writes to.  Plain archives
+take the record's closing blank lines as line separator.  Gzip archives hold
+one member per record, so that damage costs one record: the members are
+written as raw bytes, and the line separator is their last byte, a zero
+(the high byte of a length under 16 MB).  Pages with equal
 payloads: the one with the smallest id is a ``response``, the others are
 ``revisit`` records that refer to it and carry the HTTP head only.  Payloads
 are compared by SHA-1 and length; the smallest id is found by a
@@ -20,12 +23,14 @@ between as a quarantined gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,9 +91,32 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
 
 
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip", per_file: int = 1000, **how) -> None:
-    """Write ``pages`` as archives of at most ``per_file`` records each."""
-    (records(pages, **how).write.option("lineSep", CLOSE.decode()).option("compression", compression)
-     .option("maxRecordsPerFile", per_file).text(path))
+    """Write ``pages`` as archives of at most ``per_file`` records each;
+    ``gzip``: one member per record, other codecs are Spark's, over whole files."""
+    rows = records(pages, **how)
+    if compression == "gzip":
+        rows = rows.select(F.col("record").cast("binary").alias("record")).mapInArrow(_members, "record binary")
+        rows, sep, compression = rows.select(F.col("record").cast("string").alias("record")), "\0", "none"
+    else:
+        sep = CLOSE.decode()
+    rows.write.option("lineSep", sep).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+
+
+def _packed(record: bytes) -> bytes:
+    """The record and its closing lines as a gzip member, without its last
+    byte, which is zero.  A record of 16 MB or more is followed by an empty
+    member, whose last byte is."""
+    out = gzip.compress(record + CLOSE, 6, mtime=0)
+    if out[-1]:
+        out += gzip.compress(b"", 6, mtime=0)
+    return out[:-1]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = [_packed(r.as_py()) for r in b.column(0).slice(at, 500)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["record"])
 
 
 def _heads(raw: bytes) -> dict[str, str] | None:
@@ -163,6 +191,14 @@ def _member(data: bytes, at: int) -> tuple[bytes, int]:
             out.append(d.decompress(data[pos:pos + 65536]))
             pos += 65536
     except zlib.error:
+        # the failing call gave nothing: go over its bytes one by one
+        d = zlib.decompressobj(31)
+        out = [d.decompress(data[at:pos])]
+        try:
+            for k in range(pos, min(pos + 65536, len(data))):
+                out.append(d.decompress(data[k:k + 1]))
+        except zlib.error:
+            pass
         return b"".join(out), 0
     if not d.eof:
         return b"".join(out), 0

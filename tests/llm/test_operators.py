@@ -419,6 +419,32 @@ def test_warc_salvage():
     assert [r["kind"] for r in warc.salvage(b"junk" + parts[0])] == ["gap", "resource"]
 
 
+def test_warc_keeps_bytes_before_damage():
+    import gzip
+    r = random.Random(5)
+    parts = [_made(k, r.randbytes(900)) for k in range(300)]
+    whole = bytearray(gzip.compress(b"".join(parts)))
+    whole[-6] ^= 0xFF  # in the trailing checksum: every record is still good
+    names = lambda data: [x["record_id"] for x in warc.salvage(bytes(data)) if x["kind"] != "gap"]
+    assert len(whole) > 200_000 and names(whole) == [f"<urn:page:{k}>" for k in range(300)]
+    one = bytearray(gzip.compress(parts[0]))
+    one[-6] ^= 0xFF
+    assert names(one) == ["<urn:page:0>"]
+    assert [x["problem"] for x in warc.salvage(bytes(one)) if x["kind"] == "gap"] == ["damaged member"]
+
+
+def test_warc_member_per_record(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", prose(k, 300)) for k in range(20)] + [(20, "u", "long " * 3_400_000), (21, "u", "after")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "a"))
+    data = bytearray(b"".join(f.read_bytes() for f in sorted((tmp_path / "a").glob("part-*"))))
+    got = list(warc.salvage(bytes(data)))
+    assert sorted(x["record_id"] for x in got) == sorted(f"<urn:page:{k}>" for k in range(22)) and len({x["offset"] for x in got}) == 22
+    hit = next(x for x in got if x["record_id"] == "<urn:page:7>")
+    data[hit["offset"] + 40] ^= 0xFF
+    assert {x["record_id"] for x in warc.salvage(bytes(data)) if x["kind"] != "gap"} >= {f"<urn:page:{k}>" for k in range(22) if k != 7}
+
+
 # --- all on awkward tables
 
 def test_edge_tables(spark):
