@@ -246,6 +246,20 @@ def test_license_forms(spark):
     assert licenses.scan(table(spark, rows[:2]), empty).filter("size(licenses) > 0").count() == 0
 
 
+def test_license_full_texts(spark):
+    own = lambda k: (licenses.TEXTS / f"{k}.txt").read_text()
+    mit, isc = (next(t for k, t in licenses.KNOWN if k == n and "Permission" in t) for n in ("MIT", "ISC"))
+    apache = own("Apache-2.0")
+    rows = [(31, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit), (32, "ISC License\n\nCopyright (c) 2020 A. Person\n\n" + isc),
+            (33, own("GPL-3.0")), (34, f"{prose(1, 30)}\n\n{isc}\n\n{prose(2, 30)}"), (35, f"intro\n\n{apache[:apache.index('APPENDIX')]}\n\nmore"),
+            (36, f"intro\n\n{apache.split(chr(10) * 2, 4)[-1][:3000]}\n\nmore"), (37, isc.replace("\n\n", "\n\nsome words\n\n"))]
+    got = {r["id"]: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert [got[i]["text_license"] for i in (31, 32, 33, 34, 35)] == ["MIT", "ISC", "GPL-3.0", None, None]
+    assert got[32]["licenses"] == ["ISC"] == got[34]["licenses"] and got[35]["licenses"] == ["Apache-2.0"]
+    assert [(u["unit"], u["at"]) for u in got[34]["found"]] == [("run", 1)]
+    assert got[36]["licenses"] == [] == got[37]["licenses"]
+
+
 # --- 7 secrets
 
 def _keys(n):
