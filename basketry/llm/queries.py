@@ -211,3 +211,6 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
     from basketry.llm.lm import score
     return score(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).withColumnRenamed("id", "doc_id")
+
+
+from basketry.llm import queries_structure  # noqa: E402, F401  operators 11 to 13
