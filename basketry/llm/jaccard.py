@@ -45,9 +45,10 @@ from basketry.session import stage
 SPARE = 2                  # segments beyond those that differences can touch and one
 GROUP_DOCS, GROUP_TOKENS = 1024, 1 << 22   # the largest group that is one tree
 TILE_BITS = 8              # documents of a tile of a larger group: 256
-FAN = 8                    # children of a node
+FAN = 4                    # children of a node
+BITS_PER_TOKEN = 16        # sparse enough that nodes of unlike leaves are pruned
 PAIRS = 2048               # node pairs looked at together
-_MIN_BITS, _MAX_BITS = 8, 16   # size of a bitmap, as a power of two
+_MIN_BITS, _MAX_BITS = 8, 18   # size of a bitmap, as a power of two
 
 
 # -- sets and segments ------------------------------------------------------
@@ -182,7 +183,7 @@ class SignatureTree:
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     most = max(len(s) for s in sets)
-    power = min(max(int(4 * most - 1).bit_length(), _MIN_BITS), _MAX_BITS)
+    power = min(max(int(BITS_PER_TOKEN * most - 1).bit_length(), _MIN_BITS), _MAX_BITS)
     out = np.zeros((len(sets), (1 << power) >> 6), np.uint64)
     for i, s in enumerate(sets):
         place = s >> np.uint64(64 - power)

@@ -279,4 +279,4 @@ def test_signature_tree_prunes():
     seen = {}
     top = jaccard.traverse(sets, np.arange(128), None, 90, seen).labels()
     assert all(top[i] == top[i + 64] for i in range(64)) and len(set(top)) == 64
-    assert seen["compared"] < 80 and seen["visited"] < 128 * 127 / 2
+    assert seen["compared"] < 80 and seen["visited"] < 128 * 127 / 16
