@@ -97,11 +97,11 @@ def range_ordinal(df: DataFrame, order_cols: Sequence[Column | str], name: str =
     rank never changes once given."""
     from basketry.session import stage
     placed = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("__at", F.monotonically_increasing_id()))
-    placed = stage(placed, "ranges").withColumn("__part", F.shiftright("__at", 33))
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per range
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    return (placed.join(before, "__part")
-            .withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1))
-            .drop("__part", "__at", "__before"))
+              .withColumn("__ro_at", F.monotonically_increasing_id()))
+    placed = stage(placed, "ranges").withColumn("__ro_part", F.shiftright("__ro_at", 33))
+    sizes = placed.groupBy("__ro_part").agg(F.count(F.lit(1)).alias("__ro_n"))  # one row per range
+    w = Window.orderBy("__ro_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__ro_part", F.coalesce(F.sum("__ro_n").over(w), F.lit(0)).alias("__ro_before"))
+    return (placed.join(before, "__ro_part")
+            .withColumn(name, F.col("__ro_before") + F.col("__ro_at").bitwiseAND((1 << 33) - 1))
+            .drop("__ro_part", "__ro_at", "__ro_before"))

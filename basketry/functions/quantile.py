@@ -79,3 +79,27 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> list:
 
 def exact_median(df: DataFrame, column: str):
     return exact_quantiles(df, column, [0.5])[0]
+
+
+def grouped_quantiles(df: DataFrame, group: str, column: str, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(group, names...): exact linear-interpolated quantiles of ``column``
+    per group, all groups in one sample sort (``ordinal.range_ordinal``): a
+    group is spread over ranges whatever its size.  Nulls are ignored."""
+    from basketry.functions.ordinal import range_ordinal
+    v = df.select(group, F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    ranked = range_ordinal(v, [group, "__v"], "__at")
+    n = ranked.groupBy(group).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    at = F.col("__at") - F.col("__first")
+    pos = [F.lit(float(q)) * (F.col("__n") - 1) for q in qs]
+    placed = ranked.join(n, group)
+    wanted = None
+    for p in pos:
+        here = (at == F.floor(p)) | (at == F.ceil(p))
+        wanted = here if wanted is None else wanted | here
+    picks = placed.filter(wanted).groupBy(group).agg(*[
+        e for p, name in zip(pos, names) for e in (
+            F.max(F.when(at == F.floor(p), F.col("__v"))).alias(f"__lo_{name}"),
+            F.max(F.when(at == F.ceil(p), F.col("__v"))).alias(f"__hi_{name}"),
+            F.max(p - F.floor(p)).alias(f"__f_{name}"))])
+    return picks.select(group, *[(F.col(f"__lo_{m}") + F.col(f"__f_{m}") * (F.col(f"__hi_{m}") - F.col(f"__lo_{m}"))).alias(m)
+                                 for m in names])

@@ -1,19 +1,22 @@
-"""Churn classifiers on Spark ML (M1-M4, E6, E9 for the linear model, X22).
+"""Churn classifiers on Spark ML.
 
-All fits are distributed Spark ML estimators inside a Pipeline:
-indexers -> (one-hot) -> assembler -> estimator.
+All fits are distributed Spark ML estimators inside a Pipeline: codes or 0/1
+columns of the categories (``features.class_lists``) -> assembler ->
+estimator.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators import evaluate
-from basketry.operators.clean import ID_COL, LABEL_COL
+from basketry.operators import evaluate, treeshap
+from basketry.operators.clean import FEATURE_COLS, ID_COL, LABEL_COL
 from basketry.operators.features import label_pipeline, onehot_pipeline
 
 
@@ -21,27 +24,27 @@ def _with_label(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.col(LABEL_COL).cast("double"))
 
 
-def logistic_regression(train: DataFrame, max_iter: int = 2000):
+def logistic_regression(train: DataFrame, classes: dict[str, list[str]], max_iter: int = 2000):
     """M1: unscaled one-hot features; L2 with C=1 maps to regParam=1/n."""
     n = train.count()
     lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                             standardization=False, featuresCol="features", labelCol="label")
-    return Pipeline(stages=[*onehot_pipeline().getStages(), lr]).fit(_with_label(train))
+    return Pipeline(stages=[*onehot_pipeline(classes).getStages(), lr]).fit(_with_label(train))
 
 
-def random_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 30, seed: int = 42):
+def random_forest(train: DataFrame, classes: dict[str, list[str]], num_trees: int = 200, max_depth: int = 30, seed: int = 42):
     """M2: 200 trees, sqrt feature subsets, deep trees (Spark's max depth is 30)."""
     rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
                                 seed=seed, featuresCol="features", labelCol="label", maxBins=64)
-    return Pipeline(stages=[*label_pipeline().getStages(), rf]).fit(_with_label(train))
+    return Pipeline(stages=[*label_pipeline(classes).getStages(), rf]).fit(_with_label(train))
 
 
-def gradient_boosting(train: DataFrame, max_iter: int = 200, max_depth: int = 5, step: float = 0.1,
-                      seed: int = 42):
+def gradient_boosting(train: DataFrame, classes: dict[str, list[str]], max_iter: int = 200, max_depth: int = 5,
+                      step: float = 0.1, seed: int = 42):
     """M3: gradient-boosted trees, 200 rounds of depth 5, learning rate 0.1."""
     gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed,
                         featuresCol="features", labelCol="label", maxBins=64)
-    return Pipeline(stages=[*label_pipeline().getStages(), gbt]).fit(_with_label(train))
+    return Pipeline(stages=[*label_pipeline(classes).getStages(), gbt]).fit(_with_label(train))
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -64,21 +67,25 @@ def compare(preds: dict[str, DataFrame], encodings: dict[str, str]) -> DataFrame
     return rows
 
 
-def best_model(comparison: DataFrame) -> DataFrame:
-    """Best model by AUC; the first listed wins ties."""
-    return comparison.agg(F.max_by("model", F.col("auc")).alias("best_model"), F.max("auc").alias("auc"))
+def best_model(comparison: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Best model by AUC; the first of ``order`` wins ties."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
+    return comparison.agg(F.max_by("model", F.struct("auc", -place)).alias("best_model"), F.max("auc").alias("auc"))
 
 
-def lr_contributions(model, df: DataFrame) -> DataFrame:
+def lr_contributions(model, df: DataFrame, background: DataFrame) -> DataFrame:
     """E9 for the linear model: exact additive attributions per one-hot slot,
-    contribution = w * (x - mean(x)); base + sum = margin for every row."""
+    contribution = w * (x - mean(x)), with the means of ``background`` (the
+    training rows), so a single customer is explained like any other; base +
+    sum = margin for every row."""
     lr = model.stages[-1]
     scored = model.transform(_with_label(df))
     feats = scored.select(ID_COL, vector_to_array("features").alias("x"))
     # slot names come from the assembler metadata (bounded by the slot count)
     names = _slot_names(scored.schema["features"].metadata, lr.numFeatures)
     w = [float(v) for v in lr.coefficients.toArray()]
-    means = feats.select(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(w))]).first()
+    known = model.transform(_with_label(background)).select(vector_to_array("features").alias("x"))
+    means = known.select(*[F.coalesce(F.avg(F.col("x")[i]), F.lit(0.0)).alias(f"m{i}") for i in range(len(w))]).first()
     mvals = [float(means[f"m{i}"]) for i in range(len(w))]
     base = float(lr.intercept) + sum(wi * mi for wi, mi in zip(w, mvals))
     structs = [F.struct(F.lit(names[i]).alias("feature"), F.col("x")[i].alias("value"),
@@ -92,6 +99,14 @@ def lr_contributions(model, df: DataFrame) -> DataFrame:
                  .select(ID_COL, "s.feature", "s.value", "s.contribution", "base", "margin"))
 
 
+def gbt_contributions(model, df: DataFrame, keys: Sequence[str] = (ID_COL,)) -> DataFrame:
+    """E9 for the boosted trees: exact path-dependent attributions of every
+    row, in log-odds (``treeshap``)."""
+    trees = treeshap.boosted_trees(df.sparkSession, model.stages[-1])
+    scored = model.transform(_with_label(df))
+    return treeshap.contributions(trees, scored, FEATURE_COLS, list(keys))
+
+
 def _slot_names(meta: dict, n: int) -> list[str]:
     names = [f"f{i}" for i in range(n)]
     attrs = meta.get("ml_attr", {}).get("attrs", {})
@@ -102,15 +117,21 @@ def _slot_names(meta: dict, n: int) -> list[str]:
     return names
 
 
-def scenario_scores(model, base_rows: DataFrame, tenure_shift: int = 12) -> DataFrame:
-    """X22 + X16: what-if scoring.  Each scenario is a real customer row with
-    tenure moved by ``tenure_shift`` months; unseen categories would fall in
-    the indexers' handling.  Output: base and scenario probability and risk
-    band."""
+def what_if(base_rows: DataFrame, changes: Sequence[tuple[str, dict[str, Column]]]) -> DataFrame:
+    """Every row of ``base_rows`` once per scenario, a name and the
+    columns it sets (expressions over the row or literals)."""
+    types = dict(base_rows.dtypes)
+    out = None
+    for name, new in changes:
+        one = base_rows.withColumns({c: e.cast(types[c]) for c, e in new.items()}).withColumn("scenario", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scenario_scores(model, scenarios: DataFrame) -> DataFrame:
+    """X22 + X16: (id, scenario, score, band) of rows with the model's
+    features.  A category the table never held has code 0."""
     from basketry.functions.exprs import risk_band
-    base = predict(model, base_rows).select(ID_COL, F.col("score").alias("base_score"))
-    moved = base_rows.withColumn("tenure", F.col("tenure") + F.lit(tenure_shift))
-    scen = predict(model, moved).select(ID_COL, F.col("score").alias("scenario_score"))
-    return (base.join(scen, ID_COL)
-                .withColumn("base_band", risk_band("base_score"))
-                .withColumn("scenario_band", risk_band("scenario_score")))
+    out = model.transform(scenarios.withColumn("label", F.lit(0.0)))
+    return (out.select(ID_COL, "scenario", vector_to_array("probability")[1].alias("score"))
+            .withColumn("band", risk_band("score")))

@@ -55,15 +55,21 @@ def score_counts(pred: DataFrame, label: str = "label", score: str = "score") ->
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def roc_points(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc_points(pred: DataFrame, label: str = "label", score: str = "score", start: bool = False) -> DataFrame:
     """One ROC point per distinct score threshold (score desc): tpr and
-    fpr with ties grouped.  Running totals use bounded windows."""
+    fpr with ties grouped.  Running totals use bounded windows.  ``start``
+    adds the curve's origin (0, 0), whose threshold is above all scores
+    (null)."""
     sc = score_counts(pred, label, score).withColumn("neg_score", -F.col("score"))
     # order by score descending == order by (1 - score) ascending
     cum = running_totals(sc, "neg_score", unit_bucket(1 - F.col("score")), ["pos", "neg"])
     P = pred.select(F.count_if(F.col(label) == 1)).scalar()
     N = pred.select(F.count_if(F.col(label) == 0)).scalar()
-    return cum.select("score", _r(F.col("pos_cum") / P).alias("tpr"), _r(F.col("neg_cum") / N).alias("fpr"))
+    points = cum.select("score", _r(F.col("pos_cum") / P).alias("tpr"), _r(F.col("neg_cum") / N).alias("fpr"))
+    if not start:
+        return points
+    origin = sc.agg(F.count("*")).select(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    return origin.unionByName(points)
 
 
 def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -111,6 +117,18 @@ def prediction_grid(long_preds: DataFrame, models: Sequence[str], id_col: str =
                       .agg(F.first("prediction")))
 
 
+def verdict_grid(long_preds: DataFrame, models: Sequence[str], id_col: str = "customerID") -> DataFrame:
+    """Per customer each model's label and score side by side, the actual
+    outcome and the verdict."""
+    shown = F.struct(F.when(F.col("prediction") == 1, "Churned").otherwise("Retained").alias("label"), "score",
+                     (F.col("prediction") == F.col("label")).alias("ok"))
+    wide = long_preds.groupBy(id_col, "label").pivot("model", list(models)).agg(F.first(shown))
+    right = sum((F.coalesce(F.col(f"`{m}`.ok"), F.lit(False)).cast("int") for m in models), F.lit(0))
+    cols = [F.col(f"`{m}`.{part}").alias(f"{m} {part}") for m in models for part in ("label", "score")]
+    return wide.select(id_col, F.when(F.col("label") == 1, "Churned").otherwise("Retained").alias("actual"), *cols,
+                       F.when(right == len(models), "all correct").when(right == 0, "all wrong").otherwise("mixed").alias("verdict"))
+
+
 def metric_deltas(history: DataFrame, order_col: str = "batch_id",
                   metrics: Sequence[str] = ("accuracy", "f1")) -> DataFrame:
     """Change of each metric against the previous batch.  The history

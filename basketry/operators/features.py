@@ -2,8 +2,8 @@
 
 Label and one-hot codes are plain mapping tables (feature, value, code):
 the number of classes is a property of the schema, so these stay small and
-are broadcast only after their size is checked.  Model pipelines use the
-Spark ML indexers with the same orderings.
+are broadcast only after their size is checked.  Model pipelines carry the
+same codes, taken from the whole table, as a SQL stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,21 +123,45 @@ def inverse_scale(centroids: DataFrame, stats_src: DataFrame, columns: Sequence[
     return centroids.select("cluster", *out)
 
 
-def label_pipeline(features: Sequence[str] = CATEGORICAL_COLS + NUMERIC_COLS) -> Pipeline:
-    """F1 + F6 for tree models: alphabetical indexes then one vector."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
-                         handleInvalid="keep") for c in CATEGORICAL_COLS]
-    cols = [f"{c}__idx" if c in CATEGORICAL_COLS else c for c in features]
-    return Pipeline(stages=[*idx, VectorAssembler(inputCols=cols, outputCol="features")])
-
-
-def onehot_pipeline() -> Pipeline:
-    """F2 + F6 for linear models: alphabetDesc + dropLast drops the
-    alphabetically first class, like get_dummies(drop_first=True)."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetDesc")
-           for c in CATEGORICAL_COLS]
-    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in CATEGORICAL_COLS],
-                        outputCols=[f"{c}__oh" for c in CATEGORICAL_COLS], dropLast=True)
-    asm = VectorAssembler(inputCols=NUMERIC_COLS + [f"{c}__oh" for c in CATEGORICAL_COLS],
-                          outputCol="features")
-    return Pipeline(stages=[*idx, ohe, asm])
+MAX_CLASSES = 10_000  # classes over all categoricals; more are a key, not a category
+
+
+def class_lists(customers: DataFrame, columns: Sequence[str] = CATEGORICAL_COLS) -> dict[str, list[str]]:
+    """The classes of each categorical in alphabetical order, from the whole
+    table (F1).  They become columns and codes of a fitted model, so their
+    number is checked."""
+    rows = label_mapping(customers, columns).filter("value IS NOT NULL").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: leave out columns that are keys")
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in sorted(rows, key=lambda r: (r["feature"], r["code"])):
+        out[r["feature"]].append(r["value"])
+    return out
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def label_pipeline(classes: dict[str, list[str]], features: Sequence[str] = CATEGORICAL_COLS + NUMERIC_COLS) -> Pipeline:
+    """F1 + F6 for tree models: the codes of ``class_lists`` as numbers, then
+    one vector in the order of ``features``.  An unseen or null category has
+    code 0."""
+    def code(c: str) -> str:
+        cases = " ".join(f"WHEN {_quoted(v)} THEN {i}.0D" for i, v in enumerate(classes[c]))
+        return f"{'CASE CAST(`' + c + '` AS STRING) ' + cases + ' ELSE 0.0D END' if cases else '0.0D'} AS `{c}__code`"
+
+    sql = SQLTransformer(statement=f"SELECT *, {', '.join(map(code, classes))} FROM __THIS__")
+    cols = [f"{c}__code" if c in classes else c for c in features]
+    return Pipeline(stages=[sql, VectorAssembler(inputCols=cols, outputCol="features")])
+
+
+def onehot_pipeline(classes: dict[str, list[str]]) -> Pipeline:
+    """F2 + F6 for linear models: numerics, then one 0/1 column per class but
+    the first of each categorical.  A categorical of one class gives no
+    column, an unseen or null category zeros."""
+    dummies = [(c, v) for c in classes for v in classes[c][1:]]
+    sql = "".join(f", CAST(coalesce(CAST(`{c}` AS STRING) = {_quoted(v)}, false) AS DOUBLE) AS `{c}_{v}`" for c, v in dummies)
+    names = NUMERIC_COLS + [f"{c}_{v}" for c, v in dummies]
+    return Pipeline(stages=[SQLTransformer(statement=f"SELECT *{sql} FROM __THIS__"),
+                            VectorAssembler(inputCols=names, outputCol="features")])

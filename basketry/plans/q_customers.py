@@ -17,12 +17,21 @@ def raw(spark, sf):
     return customers_raw(spark, sf)
 
 
+_INPUTS = ["orders", "customer", "nation", "region", "lineitem", "events"]
+
+
+def memo(spark, sf, name, params, build):
+    """A table memoised by (input data version, parameters)."""
+    from basketry.sources.cache import cached_table
+    return cached_table(spark, name, [f"{sf.rstrip('/')}/{t}.parquet" for t in _INPUTS], params, build)
+
+
 def cust(spark, sf):
-    return clean.clean_customers(customers_raw(spark, sf))
+    return memo(spark, sf, "customers", {}, lambda: clean.clean_customers(customers_raw(spark, sf)))
 
 
 def split(spark, sf):
-    return features.stratified_split(cust(spark, sf))
+    return memo(spark, sf, "customer-split", {}, lambda: features.stratified_split(cust(spark, sf)))
 
 
 @register("S1_customers_raw", with_(CUST_RAW) + "SELECT * FROM cust_raw")

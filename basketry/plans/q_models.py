@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from basketry.operators import churn, evaluate, explain, factor, features, itemcf, retail, segments
 from basketry.plans.catalog import register
 from basketry.plans.oracle_sql import SPLIT, with_
-from basketry.plans.q_customers import cust, split
+from basketry.plans.q_customers import cust, memo as customer_memo, split
 from basketry.plans.q_retail import tx
 
 # Registered NMF runs use fewer multiplicative-update rounds than the
@@ -29,10 +29,13 @@ _CUSTOMER_INPUTS = ["orders", "customer", "nation", "region", "lineitem", "event
 
 
 def _model(spark, sf, name, fit, **params):
-    """Fitted model memoised by (input data version, parameters)."""
+    """Fitted model memoised by (input data version, parameters).  Codes
+    come from the whole table, as the reference fits its encoders before the
+    split."""
     from basketry.sources.cache import cached_model
     inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in _CUSTOMER_INPUTS]
-    return cached_model(spark, name, inputs, params, lambda: fit(_train_test(spark, sf)[0], **params))
+    return cached_model(spark, name, inputs, params, lambda: fit(
+        _train_test(spark, sf)[0], features.class_lists(cust(spark, sf)), **params))
 
 
 def lr_model(spark, sf):
@@ -47,56 +50,155 @@ def gbt_model(spark, sf):
     return _model(spark, sf, "gbt", churn.gradient_boosting, max_iter=200, max_depth=5, step=0.1, seed=42)
 
 
+# The classifiers in the reference's order, with their encoding.
+MODELS = {"Logistic Regression": "one-hot", "Random Forest": "label", "Gradient Boosted Trees": "label"}
+_FITTED = {"Logistic Regression": lr_model, "Random Forest": rf_model, "Gradient Boosted Trees": gbt_model}
+
+
+def predictions(spark, sf, model):
+    """M4: (customerID, label, prediction, score) of the test side, kept for
+    the read-outs that share it."""
+    return customer_memo(spark, sf, f"predictions-{list(MODELS).index(model)}", {},
+                         lambda: churn.predict(_FITTED[model](spark, sf), _train_test(spark, sf)[1]))
+
+
+def long_predictions(spark, sf):
+    out = None
+    for name in MODELS:
+        one = predictions(spark, sf, name).select("customerID", F.lit(name).alias("model"), "label", "prediction", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("M1_lr_predictions")
 def m1(spark, sf):
     """M1/M4: logistic regression (one-hot) predictions on the test side."""
-    _, te = _train_test(spark, sf)
-    return churn.predict(lr_model(spark, sf), te)
+    return predictions(spark, sf, "Logistic Regression")
 
 
 @register("M2_rf_predictions")
 def m2(spark, sf):
     """M2/M4: random forest (200 trees) predictions on the test side."""
-    _, te = _train_test(spark, sf)
-    return churn.predict(rf_model(spark, sf), te)
+    return predictions(spark, sf, "Random Forest")
 
 
 @register("M3_gbt_predictions")
 def m3(spark, sf):
     """M3/M4: gradient-boosted trees (200 x depth 5) on the test side."""
-    _, te = _train_test(spark, sf)
-    return churn.predict(gbt_model(spark, sf), te)
+    return predictions(spark, sf, "Gradient Boosted Trees")
 
 
 @register("E6_model_comparison")
 def e6(spark, sf):
-    """Metrics of the three classifiers with their encoding."""
-    _, te = _train_test(spark, sf)
-    preds = {"Logistic Regression": churn.predict(lr_model(spark, sf), te),
-             "Random Forest": churn.predict(rf_model(spark, sf), te),
-             "Gradient Boosted Trees": churn.predict(gbt_model(spark, sf), te)}
-    enc = {"Logistic Regression": "one-hot", "Random Forest": "label", "Gradient Boosted Trees": "label"}
-    return churn.compare(preds, enc)
+    """Metrics of the three classifiers with their encoding."""
+    return churn.compare({m: predictions(spark, sf, m) for m in MODELS}, MODELS)
+
+
+@register("W15_best_model")
+def w15m(spark, sf):
+    """The best classifier by AUC; the first listed wins ties."""
+    return churn.best_model(e6(spark, sf), list(MODELS))
+
+
+@register("E3_model_roc")
+def e3m(spark, sf):
+    """ROC points of the three fitted classifiers, (0, 0) first."""
+    out = None
+    for m in MODELS:
+        one = evaluate.roc_points(predictions(spark, sf, m), start=True).select(F.lit(m).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("E4_model_confusion")
+def e4m(spark, sf):
+    """Confusion counts of the three fitted classifiers."""
+    out = None
+    for m in MODELS:
+        one = evaluate.confusion(predictions(spark, sf, m)).select(F.lit(m).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("A29_model_verdicts")
+def a29m(spark, sf):
+    """Customers that all, some or none of the fitted classifiers
+    get right."""
+    return evaluate.verdicts(long_predictions(spark, sf))
+
+
+@register("E8_model_grid")
+def e8m(spark, sf):
+    """Predictions of the fitted classifiers side by side, with verdict."""
+    return evaluate.verdict_grid(long_predictions(spark, sf), list(MODELS))
 
 
 @register("E9_lr_contributions")
 def e9(spark, sf):
     """Exact linear attributions per customer and one-hot slot."""
-    _, te = _train_test(spark, sf)
-    return churn.lr_contributions(lr_model(spark, sf), te)
+    tr, te = _train_test(spark, sf)
+    return churn.lr_contributions(lr_model(spark, sf), te, tr)
 
 
 @register("E10_lr_importance")
 def e10lr(spark, sf):
     """E10 over the fitted model's attributions: top-15 mean |contribution|."""
-    _, te = _train_test(spark, sf)
-    return explain.global_importance(churn.lr_contributions(lr_model(spark, sf), te))
+    return explain.global_importance(e9(spark, sf))
+
+
+def gbt_contributions(spark, sf):
+    """E9 of the boosted trees over all customers, with their split."""
+    return customer_memo(spark, sf, "gbt-contributions", {}, lambda: churn.gbt_contributions(
+        gbt_model(spark, sf), split(spark, sf), ["customerID", "split"]))
+
+
+@register("E9_gbt_contributions")
+def e9g(spark, sf):
+    """Exact path-dependent tree attributions per customer and feature."""
+    return gbt_contributions(spark, sf)
+
+
+@register("E10_gbt_importance")
+def e10g(spark, sf):
+    """Top-15 mean |contribution| of the boosted trees, training side."""
+    return explain.global_importance(gbt_contributions(spark, sf).filter("split = 'train'"))
+
+
+@register("E11_gbt_spread")
+def e11g(spark, sf):
+    """Quartiles of the boosted trees' contributions, training side."""
+    return explain.contribution_spread(gbt_contributions(spark, sf).filter("split = 'train'"))
+
+
+@register("E12_gbt_waterfall")
+def e12g(spark, sf):
+    """For every customer the 12 largest contributions of the boosted
+    trees and the rest summed."""
+    return explain.waterfall(gbt_contributions(spark, sf), "customerID", top=12)
+
+
+def _scenarios(spark, sf):
+    te = _train_test(spark, sf)[1]
+    return churn.what_if(te, [("as is", {}), ("one year longer", {"tenure": F.col("tenure") + 12}),
+                              ("half the monthly charges", {"MonthlyCharges": F.col("MonthlyCharges") / 2}),
+                              ("unseen segment", {"segment": F.lit("(none of the known)")})])
 
 
 @register("X22_scenarios")
 def x22(spark, sf):
-    """What-if (+12 months tenure) scores of the demo customers."""
-    return churn.scenario_scores(lr_model(spark, sf), features.demo_picks(split(spark, sf)))
+    """Boosted-tree scores and risk bands of what-if rows of every
+    test customer."""
+    return churn.scenario_scores(gbt_model(spark, sf), _scenarios(spark, sf))
+
+
+@register("X22_scenario_drivers")
+def x22d(spark, sf):
+    """The ten largest drivers of every what-if row, the rest summed."""
+    c = churn.gbt_contributions(gbt_model(spark, sf), _scenarios(spark, sf), ["customerID", "scenario"])
+    key = F.concat_ws("|", "customerID", "scenario")
+    out = explain.waterfall(c.withColumn("row", key), "row", top=10)
+    return out.select(F.substring_index("row", "|", 1).alias("customerID"), F.expr("substring_index(row, '|', -1)").alias("scenario"),
+                      "feature", "contribution", "rank")
 
 
 @register("J5_aligned_rows", with_(SPLIT) + """
