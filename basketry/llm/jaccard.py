@@ -22,8 +22,8 @@ held against the first document of each of their segments; segments whose
 documents are all connected then are done, the others get trees of their own,
 in tiles of bounded size that are traversed pair by pair.
 
-Copies (equal sets) are one leaf.  Sets that share their 64-bit digest are
-taken as equal.
+Copies (equal sets) are one leaf.  Sets, and texts, that share their 64-bit
+hash are taken as equal.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ from basketry.session import stage
 SPARE = 2                  # segments beyond those that differences can touch and one
 GROUP_DOCS, GROUP_TOKENS = 1024, 1 << 22   # the largest group that is one tree
 TILE_BITS = 8              # documents of a tile of a larger group: 256
+RANGE_PAIRS, HELD_PAIRS = 1 << 22, 1 << 21   # pairs of a range of keys, and of a task before it sends them on
 FAN = 4                    # children of a node
 BITS_PER_TOKEN = 16        # sparse enough that nodes of unlike leaves are pruned
 PAIRS = 2048               # node pairs looked at together
@@ -99,21 +100,108 @@ def segment_keys(tokens: np.ndarray, percent: int, steps: list[int]) -> np.ndarr
     return np.concatenate(keys).view(np.int64)
 
 
-def token_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
-               percent: int = 90) -> DataFrame:
-    """(id, n, digest, tokens, keys) of every row; digest null if empty."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole(F.col(f"`{text_col}`")).alias("text"))
+    return rows.withColumn("copy", F.xxhash64("text"))
+
 
+def token_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+               percent: int = 90) -> DataFrame:
+    """(id, copy, n, digest, keys) of every row: the text's hash, the set's
+    size, digest (null if empty) and segment keys."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         steps = size_steps(percent, 1 << 40)
         for b in batches:
             sets = [token_set(t, shingle_words) for t in b["text"]]
-            raw = [s.tobytes() for s in sets]
-            digest = pd.array([np.uint64(xxhash.xxh3_64_intdigest(r)).astype(np.int64) if r else None for r in raw], dtype="Int64")
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n": [len(s) for s in sets], "digest": digest, "tokens": raw,
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "copy": b["copy"], "n": [len(s) for s in sets],
+                                "digest": pd.array([digest(s) if len(s) else None for s in sets], dtype="Int64"),
                                 "keys": [segment_keys(s, percent, steps) for s in sets]})
 
-    return rows.mapInPandas(run, "id long, n long, digest long, tokens binary, keys array<long>")
+    return _rows(docs, id_col, text_col).mapInPandas(run, "id long, copy long, n long, digest long, keys array<long>")
+
+
+def digest(tokens: np.ndarray) -> np.int64:
+    return np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)
+
+
+# -- documents that agree on a segment --------------------------------------
+
+def starred(key: np.ndarray, who: np.ndarray):
+    """Per key its least document; and the pairs (other document, least)."""
+    order = np.lexsort((who, key.view(np.uint64)))
+    key, who = key[order], who[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    hub = who[first][np.cumsum(first) - 1]
+    star = np.unique(np.stack([who, hub], axis=1)[who != hub], axis=0)
+    return key[first], who[first], star
+
+
+def agreeing(sets: DataFrame) -> DataFrame:
+    """(u, v): pairs of documents that agree on a segment, such that all that
+    agree on one are connected.
+
+    The pairs (key, document) travel packed, 16 bytes each, in ranges of the
+    key.  Before they do, each task makes stars of its own documents and
+    sends only their centres on, so a key of very many documents comes with
+    one pair per batch."""
+    pairs = sets.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    ranges = max(2 * sets.sparkSession.sparkContext.defaultParallelism, -(-pairs // RANGE_PAIRS))
+
+    def packed(keys: list[np.ndarray], who: list[np.ndarray]) -> pd.DataFrame:
+        key, doc, star = starred(np.concatenate(keys), np.concatenate(who))
+        at = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        cuts = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)]
+        out = [(int(at[i]), key[i:j].tobytes(), doc[i:j].tobytes(), False) for i, j in zip(cuts, cuts[1:])]
+        # known pairs ride along, spread over the ranges
+        per = 4096
+        out += [(int(at[0] + i) % ranges, star[p:p + per, 0].tobytes(), star[p:p + per, 1].tobytes(), True)
+                for i, p in enumerate(range(0, len(star), per))]
+        return pd.DataFrame(out, columns=["part", "a", "b", "known"])
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, who, held = [], [], 0
+        for b in batches:
+            n = [len(k) for k in b["keys"]]
+            if not sum(n):
+                continue
+            keys.append(np.concatenate(list(b["keys"])).astype(np.int64))
+            who.append(np.repeat(b["digest"].to_numpy(np.int64, na_value=0), n))
+            held += sum(n)
+            if held > HELD_PAIRS:
+                yield packed(keys, who)
+                keys, who, held = [], [], 0
+        if held:
+            yield packed(keys, who)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _runs(batches, ["part"]):
+            known = g["known"].to_numpy(bool)
+            join = lambda c, rows: np.frombuffer(b"".join(g.loc[rows, c]), np.int64)
+            u, v = join("a", known), join("b", known)
+            key = join("a", ~known)
+            if len(key):
+                star = starred(key, join("b", ~known))[2]
+                u, v = np.r_[u, star[:, 0]], np.r_[v, star[:, 1]]
+            yield pd.DataFrame({"u": u, "v": v})
+
+    dealt = sets.filter("size(keys) > 0").select("digest", "keys").mapInPandas(deal, "part long, a binary, b binary, known boolean")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "u long, v long").distinct()
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(digest, ..., tokens) of the texts whose hash is in ``wanted(copy,
+    digest, ...)``, each once."""
+    keep = wanted.columns
+    texts = (_rows(docs, id_col, text_col).select("copy", "text").join(wanted, "copy")
+             .groupBy(*keep).agg(F.first("text").alias("text")))
+    schema = ", ".join(f"{c} {t}" for c, t in texts.dtypes if c != "text") + ", tokens binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["tokens"] = [token_set(t, shingle_words).tobytes() for t in b["text"]]
+            yield b.drop(columns="text")
+
+    return texts.mapInPandas(run, schema)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -312,10 +400,10 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
-def _large_links(large: DataFrame, edges: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """Links of the groups that are more than one tree: ``large(node)``."""
-    sets = one.select("digest", "n", "tokens", "keys").join(large.withColumnRenamed("node", "digest"), "digest")
-    sets = stage(sets, "large")
+def _large_links(large: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the groups that are more than one tree: ``large(node)``, of
+    ``sets(digest, n, keys, tokens)``."""
+    sets = stage(sets.join(large.withColumnRenamed("node", "digest"), "digest"), "large")
     star = stage(_checked(edges.join(large.withColumnRenamed("node", "u"), "u", "left_semi"), sets, percent), "star")
     known = components(star).withColumnRenamed("node", "digest").withColumnRenamed("label", "comp")
     leaves = sets.select("digest", "n", "keys").join(known, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
@@ -354,16 +442,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     if not 70 <= percent <= 99:
         raise ValueError("percent must be from 70 to 99")
-    sets = token_sets(docs, id_col, text_col, shingle_words, percent).withColumn("uid", F.monotonically_increasing_id())
-    sets = stage(sets, "token-sets")
-    nodes = stage(sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("id").alias("id")), "nodes")
-    one = sets.drop("id").join(nodes.select("uid"), "uid", "left_semi")  # each set once
-    keyed = one.select("digest", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("last")).filter("hub <> last").select("key", "hub")
-    edges = keyed.join(first, "key").filter("digest <> hub").select(F.col("digest").alias("u"), F.col("hub").alias("v")).distinct()
-    edges = stage(edges, "agreeing")
-    groups = components(edges).withColumnRenamed("label", "grp")
-    member = one.select("digest", "n", "tokens").join(groups.withColumnRenamed("node", "digest"), "digest")
+    sets = stage(token_sets(docs, id_col, text_col, shingle_words, percent), "token-sets")
+    edges = stage(agreeing(sets), "agreeing")
+    groups = components(edges).withColumnRenamed("node", "digest").withColumnRenamed("label", "grp")
+    known = sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.min("copy").alias("copy"), F.first("n").alias("n"))
+    nodes = stage(known.join(groups, "digest", "left"), "nodes")
+    member = nodes.filter("grp IS NOT NULL").select("copy", "digest", "n", "grp")
+    member = stage(tokens_of(docs, member, id_col, text_col, shingle_words), "members")
     sizes = stage(member.groupBy("grp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
                   .withColumn("is_large", F.expr(f"c > {GROUP_DOCS} OR t > {GROUP_TOKENS}")).select("grp", "is_large"), "group-sizes")
     small = (member.join(sizes.filter("NOT is_large").select("grp"), "grp")
@@ -371,7 +456,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     links = _tree_links(small, ["grp"], percent)
     large = sizes.filter("is_large").select("grp")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(groups.join(large, "grp").select("node"), edges, one, percent))
+        inside = stage(member.join(large, "grp").select("digest", "n", "tokens"), "large-sets")
+        keys = sets.join(inside.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("keys").alias("keys"))
+        links = links.unionByName(_large_links(inside.select(F.col("digest").alias("node")), edges, inside.join(keys, "digest"), percent))
     label = components(links).withColumnRenamed("node", "digest")
     named = nodes.select("digest", "id").join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
