@@ -24,7 +24,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.bitmap import bitmap, maybe
 from basketry.llm.text import split_words, whole
 from basketry.llm.winnow import item_words
 from basketry.session import stage
@@ -161,14 +160,13 @@ def _runs(value: Column) -> Column:
 
 def dictionary(docs: DataFrame, found: DataFrame, text_col: str = "text", least: int = DICTIONARY_MIN) -> DataFrame:
     """(run): the letter runs of candidates that are words of the corpus,
-    occurring ``least`` times or more outside them.  Counts cover all
-    documents; words that are no run are left out inside the row."""
-    runs = found.select(F.explode(_runs(F.col("value"))).alias("run")).distinct().withColumn("h", F.xxhash64("run"))
-    runs = stage(runs, "runs")
-    bits = bitmap(runs, "h")
-    words = F.filter(item_words(F.col(text_col)), lambda w: maybe(bits, F.xxhash64(w)))
+    occurring ``least`` times or more outside them.  The count covers every
+    word of three or more characters, whatever the candidates are, and is
+    summed before the shuffle, so its work is linear in the text."""
+    runs = found.select(F.explode(_runs(F.col("value"))).alias("run")).distinct()
+    words = F.filter(item_words(F.col(text_col)), lambda w: F.length(w) >= 3)
     seen = docs.select(F.explode(words).alias("run")).groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return seen.join(runs.select("run"), "run", "left_semi").select("run")
+    return seen.join(runs, "run", "left_semi").select("run")
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -225,7 +223,9 @@ def train_sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` findings of each class, by hash; equal findings count
     once, so groups of copies do not fill the sample."""
     key = ["value", "lead", "before2", "before1", "after1", "path"]
-    one = labelled.filter("label IS NOT NULL").dropDuplicates([*key, "label"])
+    rest = [c for c in labelled.columns if c not in key and c != "label"]
+    one = (labelled.filter("label IS NOT NULL").groupBy(*key, "label").agg(F.min(F.struct(*rest)).alias("rest"))
+           .select(*labelled.drop(*rest).columns, "rest.*").select(*labelled.columns))
     order = [F.xxhash64(*key), *key]
     return stage(one.filter("label = 1").orderBy(*order).limit(rows)
                  .unionByName(one.filter("label = 0").orderBy(*order).limit(rows)).coalesce(1), "labelled")
@@ -295,20 +295,51 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     return judge(rows, fit(train_sample(rows)))
 
 
+LONG = 12  # characters from which a value is masked wherever it stands alone
+
+
+def _literal(c: Column) -> Column:
+    """The column as a regular expression for itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _value() -> Column:
+    """A pattern for the value; a letter or digit at its end ends it."""
+    return F.concat(_literal(F.col("value")), F.when(F.col("value").rlike("[A-Za-z0-9]$"), "(?![A-Za-z0-9])").otherwise(""))
+
+
+def _place() -> Column:
+    """A pattern for a finding's value at its place: after the word before it
+    and what leads it; group 1 is all up to the value."""
+    space = r"[\x20\x09-\x0D]"
+    before = F.when(F.col("before1") == "", F.lit(rf"^{space}*")).otherwise(F.concat(F.lit(rf"(?:^|{space})"), _literal(F.col("before1")), F.lit(f"{space}+")))
+    return F.concat(F.lit("("), before, _literal(F.col("lead")), F.lit(")"), _value())
+
+
+def _alone() -> Column:
+    """A pattern for a value between token bounds."""
+    return F.concat(F.lit("()"), F.when(F.col("value").rlike("^[A-Za-z0-9]"), "(?<![A-Za-z0-9])").otherwise(""), _value())
+
+
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
                  chars_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
     """``docs`` with every confirmed secret replaced by ``mask``; all rows,
-    columns and names stay.  ``chars_col`` is recounted where the text
-    changed."""
+    columns and names stay.  A secret is masked where it was found; one of
+    ``LONG`` or more characters also wherever else it stands between token
+    bounds.  ``chars_col`` is recounted where the text changed."""
     found = scan(docs, id_col, text_col, path_col).filter("is_secret")
-    lists = (found.groupBy("id", "text_hash").agg(F.collect_set("value").alias("values"))
+    is_long = (F.length("value") >= LONG) | F.coalesce(F.col("kind") == "pem", F.lit(False))
+    patterns = F.array_compact(F.array(_place(), F.when(is_long, _alone())))
+    lists = (found.select("id", "text_hash", F.length("value").alias("n"), F.explode(patterns).alias("v"))
+             .groupBy("id", "text_hash").agg(F.collect_set(F.struct("n", "v")).alias("values"))
              # longest first: a secret may contain another
-             .select("id", "text_hash", F.reverse(F.array_sort(F.transform("values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))).alias("values")))
+             .select("id", "text_hash", F.reverse(F.array_sort("values")).alias("values")))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).alias("text"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"))
     joined = rows.alias("a").join(lists.alias("b"), F.expr("a.id <=> b.id AND a.text_hash = b.text_hash"), "left")
+    put = F.lit("$1" + mask.replace("\\", "\\\\").replace("$", "\\$"))
     clean = F.when(F.col("values").isNull(), F.col("text")).otherwise(
-        F.aggregate("values", F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(mask))))
+        F.aggregate("values", F.col("text"), lambda t, s: F.regexp_replace(t, s["v"], put)))
     out = joined.select("row", "values", clean.alias("clean"))
     kinds = dict(docs.dtypes)
 
