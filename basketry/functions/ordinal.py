@@ -87,6 +87,15 @@ def unit_bucket(col: str | Column, n: int = 65536) -> Column:
     return F.least(F.greatest(F.floor(c * F.lit(n)), F.lit(0)), F.lit(n - 1)).cast("int")
 
 
+def _ranged(df: DataFrame, order_cols: Sequence[Column | str]) -> DataFrame:
+    """``df`` in even sorted ranges, as a stage table with each row's range
+    (__ro_part) and place (__ro_at)."""
+    from basketry.session import stage
+    placed = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("__ro_at", F.monotonically_increasing_id()))
+    return stage(placed, "ranges").withColumn("__ro_part", F.shiftright("__ro_at", 33))
+
+
 def range_ordinal(df: DataFrame, order_cols: Sequence[Column | str], name: str = "ordinal") -> DataFrame:
     """Add ``name``: the exact 0-based rank over the whole table along
     ``order_cols`` (a total order, or ties between equal rows), by sample
@@ -95,13 +104,26 @@ def range_ordinal(df: DataFrame, order_cols: Sequence[Column | str], name: str =
     sizes of the ranges before.  The ranges are even whatever the
     distribution of the keys, and are written as a stage table, so that a
     rank never changes once given."""
-    from basketry.session import stage
-    placed = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("__ro_at", F.monotonically_increasing_id()))
-    placed = stage(placed, "ranges").withColumn("__ro_part", F.shiftright("__ro_at", 33))
+    placed = _ranged(df, order_cols)
     sizes = placed.groupBy("__ro_part").agg(F.count(F.lit(1)).alias("__ro_n"))  # one row per range
     w = Window.orderBy("__ro_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("__ro_part", F.coalesce(F.sum("__ro_n").over(w), F.lit(0)).alias("__ro_before"))
     return (placed.join(before, "__ro_part")
             .withColumn(name, F.col("__ro_before") + F.col("__ro_at").bitwiseAND((1 << 33) - 1))
             .drop("__ro_part", "__ro_at", "__ro_before"))
+
+
+def range_running_totals(df: DataFrame, order_cols: Sequence[Column | str], value_cols: Sequence[str],
+                         suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``value_cols`` over the whole table along
+    ``order_cols`` (unique), by the same sample sort: sums within a range
+    plus the sums of the ranges before."""
+    placed = _ranged(df, order_cols)
+    sums = placed.groupBy("__ro_part").agg(*[F.sum(v).alias(f"__ro_s_{v}") for v in value_cols])
+    w = Window.orderBy("__ro_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__ro_part", *[F.coalesce(F.sum(f"__ro_s_{v}").over(w), F.lit(0)).alias(f"__ro_b_{v}") for v in value_cols])
+    inner = Window.partitionBy("__ro_part").orderBy("__ro_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(before, "__ro_part")
+    for v in value_cols:
+        out = out.withColumn(f"{v}{suffix}", F.col(f"__ro_b_{v}") + F.sum(v).over(inner))
+    return out.drop("__ro_part", "__ro_at", *[f"__ro_b_{v}" for v in value_cols])

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.ordinal import running_totals, unit_bucket
+from basketry.functions.ordinal import range_running_totals
 
 USER, ITEM = "CustomerID", "StockCode"
 
@@ -57,12 +57,11 @@ def score_counts(pred: DataFrame, label: str = "label", score: str = "score") ->
 
 def roc_points(pred: DataFrame, label: str = "label", score: str = "score", start: bool = False) -> DataFrame:
     """One ROC point per distinct score threshold (score desc): tpr and
-    fpr with ties grouped.  Running totals use bounded windows.  ``start``
+    fpr with ties grouped.  Running totals use even ranges of a sample sort.  ``start``
     adds the curve's origin (0, 0), whose threshold is above all scores
     (null)."""
-    sc = score_counts(pred, label, score).withColumn("neg_score", -F.col("score"))
-    # order by score descending == order by (1 - score) ascending
-    cum = running_totals(sc, "neg_score", unit_bucket(1 - F.col("score")), ["pos", "neg"])
+    sc = score_counts(pred, label, score)
+    cum = range_running_totals(sc, [F.desc("score")], ["pos", "neg"])
     P = pred.select(F.count_if(F.col(label) == 1)).scalar()
     N = pred.select(F.count_if(F.col(label) == 0)).scalar()
     points = cum.select("score", _r(F.col("pos_cum") / P).alias("tpr"), _r(F.col("neg_cum") / N).alias("fpr"))
@@ -76,7 +75,7 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
     """Tie-aware ROC AUC (Mann-Whitney): for each distinct score,
     pos * (negatives below + neg / 2), divided by P * N."""
     sc = score_counts(pred, label, score)
-    cum = running_totals(sc, "score", unit_bucket("score"), ["neg"])
+    cum = range_running_totals(sc, ["score"], ["neg"])
     below = F.col("neg_cum") - F.col("neg")
     u = cum.agg(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("u"),
                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.exprs import days_between, hash_key, truncate_label
-from basketry.functions.ordinal import hash_bucket, int_range_bucket, ordinal
+from basketry.functions.ordinal import hash_bucket, ordinal, range_ordinal
 from basketry.functions.quantile import exact_median
 
 USER, ITEM = "CustomerID", "StockCode"
@@ -48,21 +48,14 @@ def item_descriptions_from_lines(tx: DataFrame) -> DataFrame:
 
 def user_dim(inter: DataFrame) -> DataFrame:
     """Dense 0-based index by sorted distinct CustomerID."""
-    users = inter.select(USER).distinct()
-    lo = users.select(F.min(USER)).scalar()
-    hi = users.select(F.max(USER)).scalar()
-    return (ordinal(users, [USER], int_range_bucket(USER, lo, hi), name="user_idx")
-            .withColumn("user_idx", F.col("user_idx") - 1))
+    return range_ordinal(inter.select(USER).distinct(), [USER], "user_idx")
 
 
 def item_dim(inter: DataFrame) -> DataFrame:
     """Dense 0-based item index by order of first appearance in
     (CustomerID, StockCode) order, i.e. by (first buyer, StockCode)."""
     first = inter.groupBy(ITEM).agg(F.min(USER).alias("first_user"))
-    lo = first.select(F.min("first_user")).scalar()
-    hi = first.select(F.max("first_user")).scalar()
-    return (ordinal(first, ["first_user", ITEM], int_range_bucket("first_user", lo, hi), name="item_idx")
-            .select(ITEM, (F.col("item_idx") - 1).alias("item_idx")))
+    return range_ordinal(first, ["first_user", ITEM], "item_idx").select(ITEM, "item_idx")
 
 
 def index_interactions(inter: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -99,3 +99,26 @@ def test_exact_quantile_narrowing_matches_numpy(spark):
         assert got == float(np.sort(vals)[k])
     qs = quantile.exact_quantiles(df, "x", [0.25, 0.5, 0.9])
     assert np.allclose(qs, np.quantile(vals, [0.25, 0.5, 0.9]), rtol=0, atol=1e-12)
+
+
+def test_sample_sort_ranges_are_even_and_exact(spark):
+    """90 % of the scores lie under 1e-4: ranks and running totals are exact
+    and no range is above four times the median."""
+    import importlib
+
+    import numpy as np
+    o = importlib.import_module("basketry.functions.ordinal")
+    r = np.random.default_rng(1)
+    v = np.unique(np.r_[r.random(18_000) * 1e-4, r.random(2_000)])
+    df = spark.createDataFrame([(float(x), int(i % 3)) for i, x in enumerate(v)], "score double, n long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [x["count"] for x in o._ranged(df, ["score"]).groupBy("__ro_part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 4 and max(sizes) <= 4 * sorted(sizes)[len(sizes) // 2]
+    ranked = o.range_ordinal(df, ["score"], "at").orderBy("score").collect()
+    assert [x["at"] for x in ranked] == list(range(len(v)))
+    total = o.range_running_totals(df, ["score"], ["n"]).orderBy("score").collect()
+    assert [x["n_cum"] for x in total] == list(np.cumsum([x["n"] for x in total]))
+    assert o.range_ordinal(df.limit(0), ["score"], "at").count() == 0
