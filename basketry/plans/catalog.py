@@ -36,5 +36,5 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> dict[str, Entry]:
     # importing the modules fills CATALOG
-    from basketry.plans import q_retail, q_customers, q_models, q_streams  # noqa: F401
+    from basketry.plans import q_retail, q_customers, q_models, q_streams, q_extras  # noqa: F401
     return CATALOG
