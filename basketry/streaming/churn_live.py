@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from basketry.operators import evaluate, features, stats
 from basketry.operators.clean import CATEGORICAL_COLS, ID_COL, LABEL_COL, NUMERIC_COLS
 from basketry.session import scratch_path
-from basketry.streaming.common import read_or_empty, run_file_stream, stage_batches, write_partition
+from basketry.streaming.common import read_or_empty, run_file_stream, write_partition
+from basketry.streaming.deltas import DeltaLog, in_order, stage_ordered
 
 FEATURES = CATEGORICAL_COLS + NUMERIC_COLS
 
@@ -88,40 +89,46 @@ def run(spark: SparkSession, customers: DataFrame, n_batches: int = 15, initial_
     output folder holding ``weights/``, ``metrics/`` and ``confusion/``."""
     out = out or scratch_path(spark, "churn-live")
     train, test = prepare(customers, n_batches)
-    train = train.select(ID_COL, LABEL_COL, *FEATURES, "batch_id")
-    test = test.select(ID_COL, LABEL_COL, *FEATURES).persist()
+    keys = [ID_COL, LABEL_COL, *FEATURES]
+    train = train.select(*keys, F.lit(1).cast("bigint").alias("n"), "batch_id")
+    test = _cut(test.select(*keys))
     src = f"{out}/source"
-    stage_batches(train, "batch_id", src, list(range(n_batches + 1)))
-
-    def handle(batch_df: DataFrame, epoch_id: int) -> None:
-        ids = [r[0] for r in batch_df.select("batch_id").distinct().orderBy("batch_id").collect()]
-        for bid in ids:  # one id per micro-batch in practice; bounded by n_batches
-            done = read_or_empty(spark, f"{out}/metrics", "batch_id int")
-            if done.filter(F.col("batch_id") == bid).limit(1).count():
-                continue  # replayed batch: already applied
-            prev = read_or_empty(spark, f"{out}/weights", "w array<double>, b double, batch_id int") \
-                .filter(F.col("batch_id") < bid).orderBy(F.desc("batch_id")).limit(1).collect()
-            w, b = (list(prev[0]["w"]), prev[0]["b"]) if prev else ([0.0] * len(FEATURES), 0.0)
-            rows = batch_df.filter(F.col("batch_id") == bid).persist()
-            # full steps on the large initial batch, damped steps on the small
-            # streamed batches so one batch of a few dozen rows cannot swing the model
-            w, b = newton_steps(rows, w, b, initial_steps if bid == 0 else steps, alpha,
-                                damping=1.0 if bid == 0 else stream_damping)
-            write_partition(spark.createDataFrame([(w, float(b))], "w array<double>, b double"),
-                            f"{out}/weights", bid)
-            p = _prob(w, b)
-            scored = test.select(F.col(LABEL_COL).alias("label"), p.alias("score"),
-                                 F.when(p >= 0.5, 1).otherwise(0).alias("prediction"))
-            m = evaluate.classification_metrics(scored).select("accuracy", "f1")
-            ll = evaluate.log_loss(scored).select("log_loss")
-            n_rows = rows.count()
-            row = m.select("*", ll.select("log_loss").scalar().alias("log_loss"),
-                           F.lit(n_rows).cast("bigint").alias("batch_rows"))
-            write_partition(row, f"{out}/metrics", bid)
-            write_partition(evaluate.confusion(scored), f"{out}/confusion", bid)
-
-    run_file_stream(spark, src, train.schema, handle, f"{out}/_checkpoint")
-    test.unpersist()
+    stage_ordered(train, src)
+    schema = spark.read.parquet(src).schema
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name in [*keys, "n"])
+    log = DeltaLog(spark, out, columns, keys, "n")
+
+    def done() -> int:
+        last = read_or_empty(spark, f"{out}/confusion", "batch_id int").agg(F.max("batch_id")).first()[0]
+        return -1 if last is None else last  # the confusion table is a step's last write
+
+    def step(bid: int) -> None:
+        prev = read_or_empty(spark, f"{out}/weights", "w array<double>, b double, batch_id int") \
+            .filter(F.col("batch_id") == bid - 1).first()
+        w, b = (list(prev["w"]), prev["b"]) if prev else ([0.0] * len(FEATURES), 0.0)
+        rows = _cut(log.batch(bid, bid).select(*keys))
+        # full steps on the large initial batch, damped steps on the small
+        # streamed batches so one batch of a few dozen rows cannot swing the model
+        w, b = newton_steps(rows, w, b, initial_steps if bid == 0 else steps, alpha,
+                            damping=1.0 if bid == 0 else stream_damping)
+        write_partition(spark.createDataFrame([(w, float(b))], "w array<double>, b double"),
+                        f"{out}/weights", bid)
+        p = _prob(w, b)
+        scored = test.select(F.col(LABEL_COL).alias("label"), p.alias("score"),
+                             F.when(p >= 0.5, 1).otherwise(0).alias("prediction"))
+        m = evaluate.classification_metrics(scored).select("accuracy", "f1")
+        ll = evaluate.log_loss(scored).select("log_loss")
+        n_rows = rows.count()
+        row = m.select("*", ll.select("log_loss").scalar().alias("log_loss"),
+                       F.lit(n_rows).cast("bigint").alias("batch_rows"))
+        write_partition(row, f"{out}/metrics", bid)
+        write_partition(evaluate.confusion(scored), f"{out}/confusion", bid)
+
+    run_file_stream(spark, src, schema, in_order(log, done, step, compact=False), f"{out}/_checkpoint",
+                    files=spark.sparkContext.defaultParallelism)
+    missing = log.waiting(done())
+    if missing:
+        raise RuntimeError(f"batches {missing} came without all of batch {done() + 1}")
     return out
 
 
