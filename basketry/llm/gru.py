@@ -72,21 +72,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _run(p, ids, keep, h, store):
-    """States of a window of steps: ids, keep are (steps, lanes)."""
-    hid = h.shape[1]
+    """States of a window of steps: ids, keep are (steps, lanes).  With
+    ``store`` also what each step started from, its gates, its new part and
+    the recurrent input of that, each (steps, lanes, ...)."""
+    n, live, hid = len(ids), len(h), h.shape[1]
     x = (p["emb"] @ p["Wx"] + p["b"])[ids]
-    out = np.empty(ids.shape + (hid,), np.float32)
-    saved = []
-    for t in range(len(ids)):
-        h = h * keep[t][:, None]
+    out = np.empty((n, live, hid), np.float32)
+    saved = tuple(np.empty((n, live, w), np.float32) for w in (hid, 2 * hid, hid, hid)) if store else ()
+    whole = keep.all(axis=1)
+    for t in range(n):
+        if not whole[t]:
+            h = h * keep[t][:, None]
         u = h @ p["U"]
-        g = _sigmoid(x[t, :, :2 * hid] + u[:, :2 * hid])
-        z, r = g[:, :hid], g[:, hid:]
-        n = np.tanh(x[t, :, 2 * hid:] + r * u[:, 2 * hid:])
-        new = n + z * (h - n)
+        g = x[t, :, :2 * hid]
+        g += u[:, :2 * hid]
+        g = _sigmoid(g)
+        z, last = g[:, :hid], u[:, 2 * hid:]
+        new = g[:, hid:] * last
+        new += x[t, :, 2 * hid:]
+        np.tanh(new, out=new)
         if store:
-            saved.append((h, z, r, n, u[:, 2 * hid:]))
-        out[t] = h = new
+            saved[0][t], saved[1][t], saved[2][t], saved[3][t] = h, g, new, last
+        np.subtract(h, new, out=out[t])
+        out[t] *= z
+        out[t] += new
+        h = out[t]
     return out, h, saved
 
 
@@ -99,13 +109,26 @@ def _by_class(cls: np.ndarray, groups: int):
     return order[:edge[-1]], runs
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the logits (in place; kept below overflow) and its row sums."""
-    np.minimum(x, 80.0, out=x)
+def _softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits of states ``s`` and its row sums; logits are kept
+    below overflow where weights let them come near (states lie in [-1, 1])."""
+    x = s @ w
+    x += b
+    if np.abs(w).sum(axis=0).max() + b.max() > 80.0:
+        np.minimum(x, 80.0, out=x)
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], np.float32)
 
 
+def _softmax_gradient(s, w, b, target, n):
+    """Gradients by weights, biases and states of the mean over ``n`` tokens
+    of the log loss of ``target``."""
+    d, sums = _softmax(s, w, b)
+    d[np.arange(len(s)), target] -= sums
+    scale = (1.0 / (n * sums))[:, None]
+    return (s * scale).T @ d, (scale.T @ d)[0], (d @ w.T) * scale
+
+
 def _windows(start, total, steps, longest=128):
     """(token places, valid, lanes) of each window; places are (steps, lanes).
     Where only a few long lanes are left, windows are longer, up to
@@ -129,12 +152,12 @@ def score(p, symbols, cls, word, first, start, total, steps=32) -> np.ndarray:
         s, h, _ = _run(p, symbols[at], (~first[at]).astype(np.float32), h[:live], False)
         places, s = at[ok], s[ok]
         c = cls[places]
-        e, total_e = _softmax(s @ p["Wc"] + p["bc"])
+        e, total_e = _softmax(s, p["Wc"], p["bc"])
         lp = np.log(e[np.arange(len(c)), c] / total_e + 1e-30)
         order, runs = _by_class(c, groups)
         s, w = s[order], word[places[order]]
         for k, lo, hi in runs:
-            e, total_e = _softmax(s[lo:hi] @ p["Wo"][k].T + p["bo"][k])
+            e, total_e = _softmax(s[lo:hi], p["Wo"][k].T, p["bo"][k])
             lp[order[lo:hi]] += np.log(e[np.arange(hi - lo), w[lo:hi]] / total_e + 1e-30)
         out[places] = lp
     return out
@@ -150,36 +173,36 @@ def train(p, symbols, cls, word, first, start, total, adam, rate, steps=16, clip
         flat, places = s[ok], at[ok]
         c, n = cls[places], len(places)
         g = {k: np.zeros_like(v) for k, v in p.items() if k in ("Wo", "bo")}
-        d, sums = _softmax(flat @ p["Wc"] + p["bc"])
-        d *= (1.0 / (n * sums))[:, None]
-        d[np.arange(n), c] -= 1.0 / n
-        g["Wc"], g["bc"], ds = flat.T @ d, d.sum(axis=0), d @ p["Wc"].T
+        g["Wc"], g["bc"], ds = _softmax_gradient(flat, p["Wc"], p["bc"], c, n)
         order, runs = _by_class(c, groups)
         near, w, dn = flat[order], word[places[order]], np.empty((len(order), hid), np.float32)
         for k, lo, hi in runs:
-            part = near[lo:hi]
-            d, sums = _softmax(part @ p["Wo"][k].T + p["bo"][k])
-            d *= (1.0 / (n * sums))[:, None]
-            d[np.arange(hi - lo), w[lo:hi]] -= 1.0 / n
-            g["Wo"][k], g["bo"][k] = d.T @ part, d.sum(axis=0)
-            dn[lo:hi] = d @ p["Wo"][k]
+            by_word, g["bo"][k], dn[lo:hi] = _softmax_gradient(near[lo:hi], p["Wo"][k].T, p["bo"][k], w[lo:hi], n)
+            g["Wo"][k] = by_word.T
         ds[order] += dn
         back = np.zeros_like(s)
         back[ok] = ds
+        before, gates, new, last = saved
+        z, r = gates[..., :hid], gates[..., hid:]
+        # what the loss by a state is multiplied with on its way to each input
+        to_new = (1.0 - z) * (1.0 - new * new)
+        to_z = (before - new) * z * (1.0 - z)
+        to_r = to_new * last * r * (1.0 - r)
+        by = np.concatenate([to_z, to_r, to_new], axis=2)
         dx = np.empty(ids.shape + (3 * hid,), np.float32)
         du = np.empty_like(dx)
-        dh = np.zeros((live, hid), np.float32)
+        dh, back_u, whole = np.zeros((live, hid), np.float32), p["U"].T.copy(), keep.all(axis=1)
         for t in range(len(ids) - 1, -1, -1):
-            before, z, r, m, un = saved[t]
-            dh = dh + back[t]
-            dm = dh * (1.0 - z) * (1.0 - m * m)
-            dz = dh * (before - m) * z * (1.0 - z)
-            dr = dm * un * r * (1.0 - r)
-            dx[t, :, :hid], dx[t, :, hid:2 * hid], dx[t, :, 2 * hid:] = dz, dr, dm
-            du[t, :, :2 * hid], du[t, :, 2 * hid:] = dx[t, :, :2 * hid], dm * r
-            dh = (dh * z + du[t] @ p["U"].T) * keep[t][:, None]
+            dh += back[t]
+            np.multiply(by[t].reshape(live, 3, hid), dh[:, None, :], out=dx[t].reshape(live, 3, hid))
+            du[t] = dx[t]
+            du[t, :, 2 * hid:] *= r[t]
+            dh *= z[t]
+            dh += du[t] @ back_u
+            if not whole[t]:
+                dh *= keep[t][:, None]
         dx, du = dx.reshape(-1, 3 * hid), du.reshape(-1, 3 * hid)
-        g["U"] = np.concatenate([v[0] for v in saved]).T @ du
+        g["U"] = before.reshape(-1, hid).T @ du
         g["b"] = dx.sum(axis=0)
         # gradients of the projected embeddings, summed by symbol
         flat_ids = ids.ravel()

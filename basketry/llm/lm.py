@@ -14,33 +14,38 @@ to the driver per round is one set of weights.
 
 Words: the ``known`` most frequent (bounded) travel to the tasks with their
 counts; all others are looked up by a join on the word, so no table that
-grows with the corpus is broadcast.
+grows with the corpus is broadcast.  Every text is split into words once for
+the counts and once into a table of word numbers, which training and scoring
+read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import gru
-from basketry.llm.text import ascii_lower, split_words, whole
+from basketry.llm.text import whole
 from basketry.session import stage
 
 GROUPS, SIZE = 32, 32        # frequency bands and words in each
 TAILS = 31                   # classes of all other words
 KNOWN = 65_536               # words sent to the tasks
+COUNTED = 400_000            # words a task counts before it hands the counts on
 EMBED = HIDDEN = 12
 ROUNDS = 2
 LANES, STEPS = 320, 24
 CHUNK_TOKENS = 1_200_000     # tokens of documents that run side by side
 SEED = 42
 END = ""                     # no word is empty
+_LAST, _RARE = -1, -2         # word numbers: the end of a text; _RARE - t: a word of class t that is not known
 _WORDS = GROUPS * SIZE
 _END_CLASS, _CLASSES, _START = GROUPS, GROUPS + 1 + TAILS, _WORDS + TAILS
 SIZES = gru.shapes(_WORDS + TAILS + 1, _CLASSES, GROUPS, SIZE, EMBED, HIDDEN)
@@ -56,20 +61,46 @@ def tail_of(word: Column) -> Column:
 
 
 def _tail(word: bytes) -> int:
-    return _tail_of_end(word.decode("utf-8", "replace")[-2:])
+    return _tail_of_end(word[-8:])  # holds the last two characters
 
 
 @lru_cache(maxsize=100_000)
-def _tail_of_end(last: str) -> int:
+def _tail_of_end(end: bytes) -> int:
     import xxhash
-    h = xxhash.xxh64_intdigest(last.encode("utf-8"), 42)
+    h = xxhash.xxh64_intdigest(end.decode("utf-8", "replace")[-2:].encode("utf-8"), 42)
     return (h - (1 << 64) if h >> 63 else h) % TAILS
 
 
+def _texts(batch: pa.RecordBatch, name: str = "text", rows: int = 500) -> Iterator[list[bytes]]:
+    column = batch.column(name)
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, c): counts of words and ends in all of ``docs``."""
-    words = F.concat(split_words(ascii_lower(whole(F.col(text_col)))), F.array(F.lit(END)))
-    return docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    """(w, c): counts of words and ends in all of ``docs``.  Tasks count what
+    they read and hand counts on whenever they hold ``COUNTED`` words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ends = Counter(), 0
+        for b in batches:
+            for texts in _texts(b):
+                for t in texts:
+                    held.update(t.lower().split())
+                    if len(held) >= COUNTED:
+                        yield from _counted(held)
+                        held = Counter()
+                ends += len(texts)
+        held[END.encode()] += ends
+        yield from _counted(held)
+
+    made = docs.select(whole(F.col(text_col)).cast("binary").alias("text")).mapInArrow(run, "w binary, c long")
+    return made.groupBy(F.col("w").cast("string").alias("w")).agg(F.sum("c").alias("c")).filter("c > 0")
+
+
+def _counted(held: Counter, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    words, counts = list(held.keys()), list(held.values())
+    for at in range(0, len(words), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(words[at:at + rows], pa.binary()), pa.array(counts[at:at + rows], pa.int64())], ["w", "c"])
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list:
@@ -143,25 +174,45 @@ class _Shared:
         return self._b.value
 
 
+def coded(rows: DataFrame, shared: _Shared) -> DataFrame:
+    """(id, held_out, codes, rare) of ``rows(id, held_out, text)``: the word
+    numbers of each text and its words that have none, joined by a space."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, _ = _lookup(shared)
+        for b in batches:
+            at = 0
+            for texts in _texts(b):
+                split = [t.lower().split() for t in texts]
+                edges = np.r_[0, np.cumsum([len(w) + 1 for w in split])]
+                flat = list(chain.from_iterable(chain(w, (None,)) for w in split))
+                codes = np.fromiter(map(numbers.get, flat, repeat(_RARE)), np.int32, len(flat))
+                codes[edges[1:] - 1] = _LAST
+                places = np.flatnonzero(codes == _RARE)
+                words = [flat[k] for k in places.tolist()]
+                codes[places] -= np.fromiter(map(_tail, words), np.int32, len(words))
+                left = np.searchsorted(places, edges)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").slice(at, len(texts)), b.column("held_out").slice(at, len(texts)),
+                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(codes)),
+                     pa.array([b" ".join(words[i:j]) for i, j in zip(left[:-1], left[1:])], pa.binary())],
+                    ["id", "held_out", "codes", "rare"])
+                at += len(texts)
+
+    made = rows.select("id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "id long, held_out boolean, codes array<int>, rare binary")
+    return made.withColumn("rare", F.col("rare").cast("string"))
+
+
 class _Coded:
     """Documents of a chunk as one flat run of tokens."""
 
-    def __init__(self, texts: list[str], numbers: dict[bytes, int], v: Vocabulary):
-        split = [t.encode("utf-8", "replace").lower().split() for t in texts]
-        self.lengths = np.array([len(w) + 1 for w in split], np.int64)
-        flat: list = []
-        for words in split:
-            flat += words
-            flat.append(None)
-        self.j = np.fromiter(map(numbers.get, flat, repeat(-1)), np.int32, len(flat))
-        ends = np.cumsum(self.lengths) - 1
-        self.j[ends] = -2
-        rare = np.flatnonzero(self.j == -1)
-        doc = np.repeat(np.arange(len(split)), self.lengths)
+    def __init__(self, lengths: np.ndarray, codes: np.ndarray, v: Vocabulary):
+        self.lengths, self.j = lengths, codes
+        ends = np.cumsum(lengths) - 1
         firsts = np.r_[0, ends[:-1] + 1] if len(ends) else np.empty(0, np.int64)
-        self.rare_words = [flat[k] for k in rare.tolist()]
-        tails = np.fromiter(map(_tail, self.rare_words), np.int32, len(rare))
-        j = np.maximum(self.j, 0)
+        rare = np.flatnonzero(codes <= _RARE)
+        tails = _RARE - codes[rare]
+        j = np.maximum(codes, 0)
         if len(v.words):
             symbol, self.cls = v.symbol[j], v.cls[j]
         else:
@@ -173,7 +224,7 @@ class _Coded:
         self.symbol[firsts] = _START
         self.first = np.zeros(len(j), bool)
         self.first[firsts] = True
-        self.doc, self.firsts, self.rare = doc, firsts, rare
+        self.doc, self.firsts = np.repeat(np.arange(len(lengths)), lengths), firsts
 
     def in_lanes(self):
         docs, start, total = gru.lanes(self.lengths, LANES)
@@ -181,46 +232,55 @@ class _Coded:
         return place, (self.symbol[place], self.cls[place], self.word[place], self.first[place], start, total)
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows regrouped to about CHUNK_TOKENS (by text length)."""
+def _chunks(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[_Coded, pa.Table]]:
+    """Rows regrouped to about CHUNK_TOKENS, with their documents."""
     held, size = [], 0
     for b in batches:
-        sizes = b["text"].str.len().to_numpy() // 6 + 1
         at = 0
-        for k, n in enumerate(sizes):
-            size += int(n)
+        edges = np.asarray(b.column("codes").offsets)
+        while at < b.num_rows:
+            to = int(np.searchsorted(edges, edges[at] + CHUNK_TOKENS - size))
+            to = min(max(to, at + 1), b.num_rows)
+            held.append(b.slice(at, to - at))
+            size += int(edges[to] - edges[at])
+            at = to
             if size >= CHUNK_TOKENS:
-                yield pd.concat([*held, b.iloc[at:k + 1]], ignore_index=True)
-                held, size, at = [], 0, k + 1
-        if at < len(b):
-            held.append(b.iloc[at:])
+                yield _chunk(held, v)
+                held, size = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield _chunk(held, v)
+
+
+def _chunk(held: list[pa.RecordBatch], v: Vocabulary) -> tuple[_Coded, pa.Table]:
+    table = pa.Table.from_batches(held)
+    lists = [c for c in table.column("codes").chunks if len(c)]
+    lengths = np.concatenate([np.diff(np.asarray(c.offsets)) for c in lists]).astype(np.int64)
+    return _Coded(lengths, np.concatenate([np.asarray(c.flatten()) for c in lists]), v), table
 
 
 def fit(train: DataFrame, shared: _Shared, vocabulary: Vocabulary, key_col: str = "id", rounds: int = ROUNDS,
         rate: float = 0.015) -> np.ndarray:
-    """Weights after ``rounds`` rounds; each training document is learnt from
-    in one of them, chosen by a hash of its key."""
+    """Weights after ``rounds`` rounds over ``train`` (``coded``); each
+    document is learnt from in one of them, chosen by a hash of its key."""
     weights = gru.pack(gru.initial(SIZES, SEED, *vocabulary.biases()), SIZES)
     for k in range(rounds):
         sent, speed = train.sparkSession.sparkContext.broadcast(weights), rate * 0.5 ** k
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent, speed=speed) -> Iterator[pd.DataFrame]:
-            numbers, v = _lookup(shared)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, speed=speed) -> Iterator[pa.RecordBatch]:
+            _, v = _lookup(shared)
             p, adam, tokens = gru.unpack(sent.value, SIZES), {}, 0
-            for b in _chunks(batches):
-                coded = _Coded(b["text"].tolist(), numbers, v)
-                gru.train(p, *coded.in_lanes()[1], adam, speed, STEPS)
-                tokens += int(coded.lengths.sum())
+            for c, _ in _chunks(batches, v):
+                gru.train(p, *c.in_lanes()[1], adam, speed, STEPS)
+                tokens += int(c.lengths.sum())
             flat = gru.pack(p, SIZES)
             if tokens and np.isfinite(flat).all():
-                yield pd.DataFrame({"tokens": [float(tokens)], "weights": [flat.astype(np.float64)]})
+                yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([flat.astype(np.float64)])], ["tokens", "weights"])
 
-        share = train.filter(F.pmod(F.xxhash64(F.lit("round"), key_col), F.lit(rounds)) == k).select("text")
-        made = share.mapInPandas(run, "tokens double, weights array<double>")
+        share = train.filter(F.pmod(F.xxhash64(F.lit("round"), key_col), F.lit(rounds)) == k).select("codes")
+        made = share.mapInArrow(run, "tokens double, weights array<double>")
         rows = (made.select("tokens", F.posexplode("weights").alias("i", "x"))
                 .groupBy("i").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x")).collect())
+        sent.destroy()
         if rows:  # one row per weight
             weights = np.empty_like(weights)
             for r in rows:
@@ -240,44 +300,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text"),
                        held_out(F.col(id_col)).alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    counts = stage(word_counts(train), "counts")
+    counts = stage(word_counts(rows.filter(~F.col("held_out"))), "counts")
     vocabulary = Vocabulary(counts)
     shared = _Shared(spark, vocabulary)
-    weights = spark.sparkContext.broadcast(fit(train, shared, vocabulary))
+    numbered = stage(coded(rows, shared).withColumn("rid", F.monotonically_increasing_id()), "coded")
+    weights = spark.sparkContext.broadcast(fit(numbered.filter(~F.col("held_out")), shared, vocabulary))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, v = _lookup(shared)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, v = _lookup(shared)
         p = gru.unpack(weights.value, SIZES)
-        for b in _chunks(batches):
-            c = _Coded(b["text"].tolist(), numbers, v)
+        for c, table in _chunks(batches, v):
             place, flat = c.in_lanes()
             lp = np.empty(len(place))
             lp[place] = gru.score(p, *flat, 2 * STEPS)
-            n, known = len(b), c.j >= 0
-            end = c.j == -2
+            n, known = len(c.lengths), c.j >= 0
             base = np.zeros(len(lp))
             base[known] = v.base[c.j[known]]
-            base[end] = np.log10(v.ends + 0.1)
+            base[c.j == _LAST] = np.log10(v.ends + 0.1)
             model = lp / np.log(10.0)
             model[known] += v.within[c.j[known]]
             by = lambda x: np.bincount(c.doc, x, n)
-            left = np.searchsorted(c.doc[c.rare], np.arange(n + 1))
-            yield pd.DataFrame({
-                "id": b["id"].astype("Int64"), "held_out": b["held_out"], "n_tokens": c.lengths,
-                "n_known": (by(known) + (v.ends > 0)).astype(np.int64), "base": by(base) - v.floor * c.lengths,
-                "model": by(model), "rare": [b" ".join(c.rare_words[left[k]:left[k + 1]]).decode("utf-8", "replace") for k in range(n)]})
-
-    first = stage(rows.mapInPandas(run, "id long, held_out boolean, n_tokens long, n_known long, base double, model double, "
-                                   "rare string").withColumn("rid", F.monotonically_increasing_id()), "scored")
+            more = {"n_tokens": pa.array(c.lengths), "n_known": pa.array((by(known) + (v.ends > 0)).astype(np.int64)),
+                    "base": pa.array(by(base) - v.floor * c.lengths), "model": pa.array(by(model))}
+            table = pa.table({k: table.column(k) for k in ("rid", "id", "held_out")} | more)
+            yield from table.combine_chunks().to_batches()
+
+    first = stage(numbered.select("rid", "id", "held_out", "codes").mapInArrow(
+        run, "rid long, id long, held_out boolean, n_tokens long, n_known long, base double, model double"), "scored")
     totals = F.array(*(F.lit(float(c + 0.1 * (v + 1))) for c, v in vocabulary.tail_totals))
-    rare = first.filter("rare <> ''").select("rid", F.explode(F.split("rare", " ")).alias("w")).groupBy("w", "rid").agg(F.count("*").alias("k"))
+    rare = numbered.filter("rare <> ''").select("rid", F.explode(F.split("rare", " ")).alias("w")).groupBy("w", "rid").agg(F.count("*").alias("k"))
     found = rare.join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = found.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"),
         F.sum(F.col("k") * F.log10(F.col("c") + 0.1)).alias("base2"),
         F.sum(F.col("k") * F.log10((F.col("c") + 0.1) / F.get(totals, tail_of(F.col("w"))))).alias("model2"))
-    out = first.drop("rare").join(more, "rid", "left")
+    out = first.join(more, "rid", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select("id", "held_out", "n_tokens", add("n_known", "known2").alias("n_known"),
                       F.lit(vocabulary.n).cast("long").alias("train_tokens"),
