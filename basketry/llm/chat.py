@@ -86,14 +86,23 @@ def best_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     return path.join(ranked, ["tree", "leaf"])
 
 
+def one_row_each(messages: DataFrame) -> DataFrame:
+    """One row per (tree, node): of repeated rows the least by role, text,
+    parent and score, nulls first."""
+    kept = F.min(F.struct("role", "text", "parent", "score")).alias("m")
+    return messages.groupBy("tree", "node").agg(kept).select("tree", "node", "m.parent", "m.role", "m.text", "m.score")
+
+
 def format_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """One row per chosen path of ``messages(tree, node, parent, role, text,
     score)``: tree, leaf, rank, score, formatted, loss (array of
     <start, length> in code points: the assistants' texts), n_turns.
 
-    Null role and null text: empty.  Null score: 0.  Rows need a node; extra
+    Null role and null text: empty.  Null score: 0.  Rows need a node; of
+    rows that share tree and node one is read (``one_row_each``); extra
     columns are not read.  Empty table: no rows.
     """
+    messages = one_row_each(messages)
     # as a struct, a null tree equals itself in joins
     messages = messages.withColumn("tree", F.struct("tree"))
     body = messages.select("tree", "node", whole(F.col("role")).alias("role"), whole(F.col("text")).alias("text"))

@@ -205,6 +205,15 @@ def test_chat_trees(spark):
     assert chat.format_trees(m.limit(0)).count() == 0
 
 
+def test_chat_repeated_messages(spark):
+    schema = "tree string, node long, parent long, role string, text string, score double"
+    rows = [("t", 1, None, "user", "a", 0.0), ("t", 2, 1, "assistant", "b", 1.0), (None, 1, None, "user", "c", None)]
+    again = rows * 2 + [("t", 2, 1, "assistant", "z", 0.5), ("t", 1, None, "zz", "a", 9.0)]
+    plain, twice = (chat.format_trees(spark.createDataFrame(r, schema)) for r in (rows, again))
+    assert {r["tree"]: r["n_turns"] for r in twice.collect()} == {"t": 2, None: 1}
+    assert sorted(map(str, plain.collect())) == sorted(map(str, twice.collect()))
+
+
 # --- 5 substrings
 
 def test_substring_brute(spark):
