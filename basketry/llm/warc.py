@@ -15,7 +15,7 @@ row before the shuffle.
 Reader: takes (path, content) rows as ``binaryFile`` gives them; plain or
 gzip, one member per record or many records per member.  Every record's
 version line, head, length, closing blank lines and payload digest are
-checked.  After a failed check the reader looks for the next gzip member or
+checked; a digest in a form that is not known counts as unchecked.  After a failed check the reader looks for the next gzip member or
 version line that starts a valid record, goes on there and logs the bytes in
 between as a quarantined gap.
 """
@@ -40,6 +40,7 @@ VERSION = "WARC/1.1"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CLOSE = b"\r\n\r\n"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_HTTP_END = re.compile(rb"\r?\n\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
 
 
@@ -119,9 +120,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["record"])
 
 
-def _heads(raw: bytes) -> dict[str, str] | None:
-    out = {}
-    for line in raw.split(b"\r\n"):
+def _heads(lines: list[bytes]) -> dict[str, str] | None:
+    """Names and values; a line that starts with white space goes on with the
+    value before it."""
+    out, joined = {}, []
+    for line in lines:
+        if joined and line[:1] in (b" ", b"\t"):
+            joined[-1] += b" " + line.strip()
+        else:
+            joined.append(line)
+    for line in joined:
         key, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -129,6 +137,18 @@ def _heads(raw: bytes) -> dict[str, str] | None:
     return out
 
 
+def _agrees(told: str, payload: bytes) -> bool:
+    """False if ``told`` (algorithm:value, hexadecimal or base32 in any case)
+    is known to be another payload's digest."""
+    name, _, value = told.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip().rstrip("=").upper()
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(name, payload).digest()
+    forms = (digest.hex().upper(), base64.b32encode(digest).decode().rstrip("="))
+    return value in forms or len(value) not in map(len, forms)
+
+
 def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """The record at ``at`` and its end, or None and what is wrong."""
     version = _VERSION_LINE.match(data, at)
@@ -137,7 +157,7 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     end = data.find(CLOSE, version.end() - 2)
     if end < 0:
         return None, at, "unfinished head"
-    head = _heads(data[version.end():end])
+    head = _heads(data[version.end():end].split(b"\r\n"))
     if head is None or not head.get("content-length", "").isdigit():
         return None, at, "bad head"
     start, size = end + 4, int(head["content-length"])
@@ -147,11 +167,11 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     block, kind, told = data[start:stop], head.get("warc-type", ""), head.get("warc-payload-digest", "")
     http, payload, n = None, block, size
     if head.get("content-type", "").startswith("application/http"):
-        cut = block.find(CLOSE)
-        if cut < 0:
+        cut = _HTTP_END.search(block)
+        if not cut:
             return None, at, "bad HTTP head"
-        http = _heads(block[:cut].partition(b"\r\n")[2]) or {}
-        payload = block[cut + 4:]
+        http = _heads(re.split(rb"\r?\n", block[:cut.start()])[1:]) or {}
+        payload = block[cut.end():]
         n = len(payload)
     if kind == "revisit":
         digest = told.partition(":")[2]
@@ -159,7 +179,7 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         payload = None
     else:
         digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if told and told != f"sha1:{digest}":
+        if not _agrees(told, payload):
             return None, at, "bad digest"
     return {"kind": kind, "record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"),
             "payload_bytes": n, "payload_digest": digest, "refers_to": head.get("warc-refers-to"),

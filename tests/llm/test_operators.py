@@ -421,6 +421,27 @@ def _made(k, body):
             f"Content-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
 
 
+def test_warc_foreign_records():
+    import base64
+    import hashlib
+    body = b"hello\n\nyou"
+    sha1, sha256 = hashlib.sha1(body).digest(), hashlib.sha256(body).hexdigest()
+    b32 = base64.b32encode(sha1).decode()
+
+    def record(digest, http=b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n", more=""):
+        block = http + body
+        head = (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: {digest}\r\n{more}"
+                f"Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n")
+        return head.encode() + block + warc.CLOSE
+
+    good = [record(f"sha1:{b32.lower()}"), record(f"sha1:{sha1.hex()}"), record(f"SHA-256:{sha256}"), record("sha1:short"),
+            record("new:abc"), record(f"sha1:{b32}", more="X-Long: one\r\n two\r\n"), record(f"sha1:{b32}", http=b"HTTP/1.1 200 OK\nA: b\n\n")]
+    got = list(warc.salvage(b"".join(good)))
+    assert [(r["kind"], r["payload"], r["payload_digest"]) for r in got] == [("response", body, b32)] * len(good)
+    for wrong in (f"sha1:{b32[::-1]}", f"sha256:{sha256[::-1]}"):
+        assert [r["kind"] for r in warc.salvage(record(wrong) + good[0])] == ["gap", "response"]
+
+
 def test_warc_salvage():
     import gzip
     parts = [_made(k, f"payload {k} ".encode() * 200) for k in range(5)]
