@@ -88,6 +88,25 @@ def test_item_cf_matches_dense_brute_force_with_salting(spark):
     assert max(abs(got[k] - expect[k]) for k in expect) < 1e-12
 
 
+def test_item_cf_shuffles_no_pairs_and_adds_hot_items_in_parts(spark):
+    """Recommendations against the plain form over all pairs, with an item
+    everybody has bought, users split into blocks and all items hot or none;
+    the pair (i, j) is no exchange key unless an item is hot."""
+    rnd = np.random.default_rng(4)
+    rows = [(u, f"i{it}", int(rnd.integers(1, 5))) for u in range(40)
+            for it in [0, *rnd.choice(np.arange(1, 30), size=20 if u == 0 else rnd.integers(1, 7), replace=False)]]
+    train = spark.createDataFrame(rows, "CustomerID long, StockCode string, purchase_count long")
+    nb = itemcf.top_neighbours(itemcf.item_similarity(train), 5)
+    want = {tuple(r) for r in itemcf.top_n_unseen(itemcf.score(train, nb), train, 4)
+            .select("CustomerID", "StockCode", "score", "rank").collect()}
+    for hot in (10, 10 ** 6):
+        got = itemcf.recommend(train, n=4, top_k_similar=5, chunk=6, hot=hot).select("CustomerID", "StockCode", "score", "rank")
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = itemcf.neighbours(train, 5)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert not [x for x in physical.split("\n") if "Exchange hashpartitioning(i#" in x and "j#" in x]
+
+
 def test_exact_quantile_narrowing_matches_numpy(spark):
     from basketry.functions import quantile
     rnd = np.random.default_rng(11)
