@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import checkpoint_dir
+
 # Segment names of the two rule ladders, in ladder order.
 CHURN_SEGMENTS = ["New & High-Risk", "Loyal Veterans", "Premium At-Risk",
                   "Budget Customers", "Senior Segment", "Mid-Tier"]
@@ -44,9 +46,14 @@ def kmeans_best_of(df: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42
                    features: str = "scaled", max_iter: int = 300):
     """M5/M6: ``restarts`` KMeans fits (k-means|| init, different seeds);
     keep the lowest training cost.  Each fit is a distributed job; the loop
-    is over a fixed number of restarts, not over data."""
+    is over a fixed number of restarts, not over data.  The vectors are
+    checkpointed, so that the many small tasks carry (and report the metrics
+    of) a scan and not the plan that made the vectors."""
     best = None
-    data = df.select(features).persist()
+    checkpoint_dir(df.sparkSession)
+    kept = df.select(features).persist()  # a checkpoint reads its rows twice
+    data = kept.checkpoint().persist()
+    kept.unpersist()
     try:
         for r in range(restarts):
             m = KMeans(k=k, seed=seed + r, featuresCol=features, maxIter=max_iter,

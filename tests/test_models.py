@@ -69,3 +69,23 @@ def test_linear_attribution_adds_up(spark):
     c = explain.linear_contributions(df, "id", ["a", "b"], [0.5, -2.0], 0.25)
     chk = c.groupBy("id").agg((F.first("base") + F.sum("contribution") - F.first("margin")).alias("d"))
     assert chk.select(F.max(F.abs("d"))).first()[0] < 1e-9
+
+
+def test_kmeans_reads_checkpointed_vectors(spark, monkeypatch):
+    """The fits see a scan of the vectors, not the plan that made them, and
+    give what they give on the plan itself."""
+    rnd = np.random.default_rng(7)
+    df = spark.createDataFrame([(int(i), *map(float, rnd.normal(size=2) + 4 * (i % 3))) for i in range(300)], "id long, a double, b double")
+    data = segments.scaled_vectors(df.groupBy("id").agg(F.max("a").alias("a"), F.max("b").alias("b")), ["a", "b"])
+    seen, plain = [], segments.KMeans
+
+    class Watched(plain):
+        def fit(self, dataset):
+            seen.append(dataset._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(dataset)
+    monkeypatch.setattr(segments, "KMeans", Watched)
+    got = segments.kmeans_best_of(data, k=3, restarts=2)
+    assert len(seen) == 2 and not [p for p in seen if "HashAggregate" in p or "Aggregate" in p]
+    fits = [plain(k=3, seed=42 + r, featuresCol="scaled", maxIter=300, initMode="k-means||").fit(data.select("scaled")) for r in range(2)]
+    want = min(fits, key=lambda m: m.summary.trainingCost)
+    assert np.allclose(sorted(map(tuple, got.clusterCenters())), sorted(map(tuple, want.clusterCenters())))
