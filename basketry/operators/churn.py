@@ -1,8 +1,8 @@
 """Churn classifiers on Spark ML.
 
-All fits are distributed Spark ML estimators inside a Pipeline: codes or 0/1
-columns of the categories (``features.class_lists``) -> assembler ->
-estimator.
+The fits are distributed Spark ML estimators inside a Pipeline (codes or 0/1
+columns of the categories, ``features.class_lists`` -> assembler ->
+estimator); the random forest of deep trees is ``forest``.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators import evaluate, treeshap
+from basketry.operators import evaluate, forest, treeshap
 from basketry.operators.clean import FEATURE_COLS, ID_COL, LABEL_COL
 from basketry.operators.features import label_pipeline, onehot_pipeline
 
@@ -33,10 +33,8 @@ def logistic_regression(train: DataFrame, classes: dict[str, list[str]], max_ite
 
 
 def random_forest(train: DataFrame, classes: dict[str, list[str]], num_trees: int = 200, max_depth: int = 30, seed: int = 42):
-    """M2: 200 trees, sqrt feature subsets, deep trees (Spark's max depth is 30)."""
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                seed=seed, featuresCol="features", labelCol="label", maxBins=64)
-    return Pipeline(stages=[*label_pipeline(classes).getStages(), rf]).fit(_with_label(train))
+    """M2: 200 trees, sqrt feature subsets, deep trees (depth 30 at most)."""
+    return forest.fit(train, label_pipeline(classes).fit(train), F.col(LABEL_COL), num_trees, max_depth, seed)
 
 
 def gradient_boosting(train: DataFrame, classes: dict[str, list[str]], max_iter: int = 200, max_depth: int = 5,
@@ -49,6 +47,10 @@ def gradient_boosting(train: DataFrame, classes: dict[str, list[str]], max_iter:
 
 def predict(model, df: DataFrame) -> DataFrame:
     """M4: (id, label, prediction, score = P(churn))."""
+    if isinstance(model, forest.Forest):
+        out = forest.predict(model, _with_label(df).select(*FEATURE_COLS, ID_COL, "label"), [ID_COL, "label"])
+        return out.select(ID_COL, F.col("label").cast("int").alias("label"),
+                          (F.col("score") > 0.5).cast("int").alias("prediction"), "score")
     out = model.transform(_with_label(df))
     return out.select(ID_COL, F.col("label").cast("int").alias("label"),
                       F.col("prediction").cast("int").alias("prediction"),

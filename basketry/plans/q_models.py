@@ -40,7 +40,9 @@ def lr_model(spark, sf):
 
 
 def rf_model(spark, sf):
-    return _model(spark, sf, "rf", churn.random_forest, num_trees=200, max_depth=30, seed=42)
+    """Not memoised: its only reader, ``predictions``, is."""
+    return churn.random_forest(_train_test(spark, sf)[0], features.class_lists(cust(spark, sf)),
+                               num_trees=200, max_depth=30, seed=42)
 
 
 def gbt_model(spark, sf):
