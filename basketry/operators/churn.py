@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from basketry.operators import evaluate, forest, treeshap
 from basketry.operators.clean import FEATURE_COLS, ID_COL, LABEL_COL
 from basketry.operators.features import label_pipeline, onehot_pipeline
+from basketry.session import spread
+
+BOOST_ROWS = 32_768  # rows to a task of a boosting round
 
 
 def _with_label(df: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ def gradient_boosting(train: DataFrame, classes: dict[str, list[str]], max_iter:
     """M3: gradient-boosted trees, 200 rounds of depth 5, learning rate 0.1."""
     gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed,
                         featuresCol="features", labelCol="label", maxBins=64)
-    return Pipeline(stages=[*label_pipeline(classes).getStages(), gbt]).fit(_with_label(train))
+    return Pipeline(stages=[*label_pipeline(classes).getStages(), gbt]).fit(_with_label(spread(train, BOOST_ROWS)))
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def gbt_contributions(model, df: DataFrame, keys: Sequence[str] = (ID_COL,)) ->
     """E9 for the boosted trees: exact path-dependent attributions of every
     row, in log-odds (``treeshap``)."""
     trees = treeshap.boosted_trees(df.sparkSession, model.stages[-1])
-    scored = model.transform(_with_label(df))
+    scored = model.transform(_with_label(spread(df, treeshap.TASK_ROWS)))
     return treeshap.contributions(trees, scored, FEATURE_COLS, list(keys))
 
 

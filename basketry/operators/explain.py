@@ -59,12 +59,11 @@ def contribution_spread(contrib: DataFrame, top: int = 15) -> DataFrame:
 
 def waterfall(contrib: DataFrame, id_col: str, top: int = 12) -> DataFrame:
     """For the rows of one id (filter first), the ``top`` features by
-    |contribution| and one remainder row with the rest summed."""
+    |contribution| and one remainder row with the rest summed.  One pass:
+    ``contrib`` may be costly to make."""
     w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), "feature")
     ranked = contrib.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    head = ranked.filter(F.col("rank") <= top).select(id_col, "feature", _r(F.col("contribution")).alias("contribution"), "rank")
-    rest = (ranked.filter(F.col("rank") > top).groupBy(id_col)
-                  .agg(_r(F.sum("contribution")).alias("contribution"))
-                  .select(id_col, F.lit("other features").alias("feature"), "contribution",
-                          F.lit(top + 1).cast("bigint").alias("rank")))
-    return head.unionByName(rest)
+    shown = ranked.select(id_col, F.when(F.col("rank") > top, "other features").otherwise(F.col("feature")).alias("feature"),
+                          "contribution", F.least("rank", F.lit(top + 1).cast("bigint")).alias("rank"))
+    return (shown.groupBy(id_col, "feature", "rank").agg(_r(F.sum("contribution")).alias("contribution"))
+                 .select(id_col, "feature", "contribution", "rank"))

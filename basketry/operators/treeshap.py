@@ -14,7 +14,9 @@ path, feature i gets
 because the integral of t^k (1 - t)^(m-1-k) is the Shapley weight
 k! (m-1-k)! / m!.  The integrand is a polynomial of degree m - 1, so
 ceil(m / 2) Gauss-Legendre points give it exactly: polynomial work in the
-depth of the trees, no enumeration of subsets.
+depth of the trees, no enumeration of subsets.  The o of a leaf form one of
+2^m patterns, so for short paths the shares of every pattern are worked out
+once and a row only looks them up.
 
 The model travels to the tasks as a broadcast, bounded by the number of trees
 and their depth; rows are explained in Arrow batches and never collected.
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from basketry.session import scratch_path
 
-ROWS = 4096  # rows explained together
+ROWS = 4096         # rows explained together
+TASK_ROWS = 16_384  # rows of a task, about
+SHORT = 8           # features on a path whose patterns are tabulated
 
 
 @dataclass
@@ -118,33 +122,74 @@ def _points(m: int) -> tuple[np.ndarray, np.ndarray]:
     return (x + 1) / 2, w / 2
 
 
-def attributions(trees: Sequence[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contributions per row and feature, margins) of rows x."""
-    phi, margin = np.zeros(x.shape), np.zeros(len(x))
-    points = {m: _points(m) for m in {len(leaf.features) for t in trees for leaf in t.leaves} if m}
-    for t in trees:
+def _shares(known: Sequence, unknown: Sequence, m: int) -> list:
+    """Per feature of a path, (o - z) times its integral; arrays o and z."""
+    share = [0.0] * m
+    for at, weight in zip(*_points(m)):
+        term = [z * (1 - at) + o * at for o, z in zip(known, unknown)]
+        after = [weight]                               # products of the terms behind, from the last
+        for j in range(m - 1, 0, -1):
+            after.append(after[-1] * term[j])
+        before = 1.0
+        for i in range(m):
+            share[i] = share[i] + before * after[m - 1 - i]
+            before = before * term[i]
+    return [(o - z) * s for o, z, s in zip(known, unknown, share)]
+
+
+def tables(trees: Sequence[Tree]) -> list[list[np.ndarray | None]]:
+    """Per tree and leaf: the contribution of each feature of its path for
+    every pattern of o (feature i is bit i); none for long paths."""
+    out = [[None] * len(t.leaves) for t in trees]
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for t, tree in enumerate(trees):
+        for k, leaf in enumerate(tree.leaves):
+            by_length.setdefault(len(leaf.features), []).append((t, k))
+    for m, places in by_length.items():
+        if not 0 < m <= SHORT:
+            continue
+        leaves = [trees[t].leaves[k] for t, k in places]
+        value, z = np.array([leaf.value for leaf in leaves]), np.array([leaf.unknown for leaf in leaves])
+        bits = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+        share = _shares([bits[None, :, i] for i in range(m)], [z[:, i, None] for i in range(m)], m)
+        made = np.stack(share, axis=1) * value[:, None, None]   # leaf, feature, pattern
+        for (t, k), a in zip(places, made):
+            out[t][k] = a
+    return out
+
+
+def attributions(trees: Sequence[Tree], x: np.ndarray, tabled: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(contributions per row and feature, margins) of rows x; ``tabled`` are
+    the ``tables`` of the trees, if at hand."""
+    tabled = tables(trees) if tabled is None else tabled
+    phi, margin = np.zeros(x.shape[::-1]), np.zeros(len(x))
+    for t, of_tree in zip(trees, tabled):
         left = [s.goes_left(x) for s in t.splits]
-        for leaf in t.leaves:
+        sides = [(~g, g) for g in left]
+        for leaf, table in zip(t.leaves, of_tree):
             m = len(leaf.features)
             if not m:  # a tree without splits
                 margin += leaf.value
                 continue
-            known = [np.logical_and.reduce([left[s] == side for s, side in turns]).astype(float) for turns in leaf.turns]
-            margin += leaf.value * np.prod(known, axis=0)
-            z = leaf.unknown
-            share = [np.zeros(len(x)) for _ in range(m)]
-            for at, weight in zip(*points[m]):
-                term = [z[j] * (1 - at) + known[j] * at for j in range(m)]
-                after = [np.full(len(x), weight)]      # products of the terms behind, from the last
-                for j in range(m - 1, 0, -1):
-                    after.append(after[-1] * term[j])
-                before = np.ones(len(x))
-                for i in range(m):
-                    share[i] += before * after[m - 1 - i]
-                    before = before * term[i]
-            for i, f in enumerate(leaf.features):
-                phi[:, f] += leaf.value * (known[i] - z[i]) * share[i]
-    return phi, margin
+            known = []
+            for turns in leaf.turns:
+                one = sides[turns[0][0]][turns[0][1]]
+                for s, side in turns[1:]:
+                    one = one & sides[s][side]
+                known.append(one)
+            if table is None:
+                known = [k.astype(float) for k in known]
+                margin += leaf.value * np.prod(known, axis=0)
+                for f, share in zip(leaf.features, _shares(known, leaf.unknown, m)):
+                    phi[f] += leaf.value * share
+                continue
+            pattern = known[0].astype(np.intp)
+            for i in range(1, m):
+                pattern += known[i].view(np.uint8) * np.uint8(1 << i)
+            for f, row in zip(leaf.features, table):
+                phi[f] += row[pattern]
+            margin += np.where(pattern == (1 << m) - 1, leaf.value, 0.0)
+    return phi.T, margin
 
 
 def contributions(trees: Sequence[Tree], scored: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -152,7 +197,7 @@ def contributions(trees: Sequence[Tree], scored: DataFrame, names: Sequence[str]
     rows with a ``features`` vector.  Every row of the input is explained;
     null keys are kept, repeated rows each give their features."""
     spark = scored.sparkSession
-    shared = spark.sparkContext.broadcast(list(trees))  # bounded by the model's size
+    shared = spark.sparkContext.broadcast((list(trees), tables(trees)))  # bounded by the model's size
     base, names = base_value(trees), list(names)
     rows = scored.select(*keys, vector_to_array("features").alias("x"))
 
@@ -161,7 +206,7 @@ def contributions(trees: Sequence[Tree], scored: DataFrame, names: Sequence[str]
             for at in range(0, len(b), ROWS):
                 part = b.iloc[at:at + ROWS]
                 x = np.stack(part["x"].to_numpy()).astype(float)
-                phi, margin = attributions(shared.value, x)
+                phi, margin = attributions(shared.value[0], x, shared.value[1])
                 out = part[keys].copy()
                 out["value"], out["contribution"] = list(x), list(phi)
                 out["margin"] = margin

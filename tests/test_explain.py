@@ -58,6 +58,44 @@ def test_tree_attributions_equal_all_subsets():
     assert np.allclose(treeshap.base_value(trees) + phi.sum(axis=1), margin)
 
 
+def test_tabled_attributions_equal_direct_ones(monkeypatch):
+    trees = [treeshap.paths(n, w) for n, w in zip(_small_trees(), [1.0, 0.1, 0.5])]
+    x = np.random.default_rng(6).integers(0, 5, (50, 4)).astype(float)
+    phi, margin = treeshap.attributions(trees, x)
+    assert all(a is not None for t in treeshap.tables(trees) for a in t)
+    monkeypatch.setattr(treeshap, "SHORT", 0)
+    assert all(a is None for t in treeshap.tables(trees) for a in t)
+    direct, margin2 = treeshap.attributions(trees, x)
+    assert np.allclose(phi, direct, atol=1e-14) and np.allclose(margin, margin2)
+
+
+def test_one_scan_task_is_explained_in_many(spark, monkeypatch):
+    """A compact table is one scan task; its rows are dealt out, all of them."""
+    df = customers(spark).coalesce(1)
+    monkeypatch.setattr(treeshap, "TASK_ROWS", 50)
+    monkeypatch.setattr(churn, "BOOST_ROWS", 100)
+    model = churn.gradient_boosting(df, features.class_lists(df), max_iter=2, max_depth=3)
+    c = churn.gbt_contributions(model, df)
+    assert c.rdd.getNumPartitions() == 6
+    assert c.count() == 300 * len(FEATURE_COLS) and c.select("customerID").distinct().count() == 300
+
+
+def test_waterfall_makes_its_input_once(spark):
+    """Rows past the top are summed in the same pass; null ids are one group."""
+    rows = [(i if i < 3 else None, f"f{k}", float((k * 7 + i) % 5 - 2)) for i in range(5) for k in range(6)]
+    made = spark.createDataFrame(rows, "id int, feature string, contribution double").mapInPandas(lambda bs: bs, "id int, feature string, contribution double")
+    w = explain.waterfall(made, "id", top=4)
+    assert w._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert w.columns == ["id", "feature", "contribution", "rank"]
+    got = {(r["id"], r["rank"]): (r["feature"], r["contribution"]) for r in w.collect()}
+    want = {}
+    for i in {r[0] for r in rows}:
+        mine = sorted(((f, c) for j, f, c in rows if j == i), key=lambda p: (-abs(p[1]), p[0]))
+        assert {k: c for (j, k), (_, c) in got.items() if j == i and k <= 4} == {k + 1: c for k, (_, c) in enumerate(mine[:4])}
+        want[i] = sum(c for _, c in mine[4:])
+    assert {j: c for (j, k), (f, c) in got.items() if k == 5 and f == "other features"} == want and len(got) == 20
+
+
 def customers(spark, n=300, one_valued=True):
     rows = [(str(i), "only" if one_valued else "ab"[i % 2], f"r{i % 3}", ["1-URGENT", "it's \\ odd"][i % 2], "Yes" if i % 5 else None,
              "No" if i % 4 else "Yes", i % 2, i % 60, float(20 + i % 90), float(i * 7 % 1000), int((i % 60 < 20) ^ (i % 7 == 0)))
