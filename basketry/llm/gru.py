@@ -16,6 +16,9 @@ import heapq
 
 import numpy as np
 
+_BLOCK = 1024  # tokens whose logits are worked on at a time, so that they stay in the cache
+_COUNT = np.arange(_BLOCK)
+
 
 def shapes(symbols: int, classes: int, groups: int, size: int, embed: int, hidden: int) -> dict[str, tuple]:
     return {"emb": (symbols, embed), "Wx": (embed, 3 * hidden), "U": (hidden, 3 * hidden), "b": (3 * hidden,),
@@ -64,40 +67,41 @@ def lanes(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return docs, np.r_[0, np.cumsum(total)[:-1]], total
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(x * np.float32(0.5))
-    x += 1.0
-    x *= np.float32(0.5)
-    return x
-
-
 def _run(p, ids, keep, h, store):
     """States of a window of steps: ids, keep are (steps, lanes).  With
-    ``store`` also what each step started from, its gates, its new part and
-    the recurrent input of that, each (steps, lanes, ...)."""
+    ``store`` also what each step started from, its two gates, its new part
+    and the recurrent input of that, each (steps, lanes, ...)."""
     n, live, hid = len(ids), len(h), h.shape[1]
-    x = (p["emb"] @ p["Wx"] + p["b"])[ids]
+    # gates and new part apart; the gates' inputs are halved (exactly), as
+    # sigmoid(x) = (tanh(x / 2) + 1) / 2
+    half = np.array([0.5, 0.5, 1.0], np.float32)[:, None, None]
+    by_part = lambda m: np.ascontiguousarray(m.reshape(len(m), 3, hid).transpose(1, 0, 2)) * half
+    u_parts, x = by_part(p["U"]), by_part(p["emb"] @ p["Wx"] + p["b"]).take(ids, axis=1)
     out = np.empty((n, live, hid), np.float32)
-    saved = tuple(np.empty((n, live, w), np.float32) for w in (hid, 2 * hid, hid, hid)) if store else ()
+    kept = n if store else 1  # without ``store`` each step overwrites the one before
+    before, new, last = (np.empty((kept, live, hid), np.float32) for _ in range(3))
+    gates, u = np.empty((2, kept, live, hid), np.float32), np.empty((3, live, hid), np.float32)
     whole = keep.all(axis=1)
     for t in range(n):
         if not whole[t]:
             h = h * keep[t][:, None]
-        u = h @ p["U"]
-        g = x[t, :, :2 * hid]
-        g += u[:, :2 * hid]
-        g = _sigmoid(g)
-        z, last = g[:, :hid], u[:, 2 * hid:]
-        new = g[:, hid:] * last
-        new += x[t, :, 2 * hid:]
-        np.tanh(new, out=new)
+        k = t if store else 0
+        np.matmul(h, u_parts, out=u)
+        g, c = gates[:, k], new[k]
+        np.add(u[:2], x[:2, t], out=g)
+        np.tanh(g, out=g)
+        g += 1.0
+        g *= np.float32(0.5)
+        np.multiply(g[1], u[2], out=c)
+        c += x[2, t]
+        np.tanh(c, out=c)
         if store:
-            saved[0][t], saved[1][t], saved[2][t], saved[3][t] = h, g, new, last
-        np.subtract(h, new, out=out[t])
-        out[t] *= z
-        out[t] += new
+            before[t], last[t] = h, u[2]
+        np.subtract(h, c, out=out[t])
+        out[t] *= g[0]
+        out[t] += c
         h = out[t]
-    return out, h, saved
+    return out, h, (before, gates, new, last)
 
 
 def _by_class(cls: np.ndarray, groups: int):
@@ -109,24 +113,47 @@ def _by_class(cls: np.ndarray, groups: int):
     return order[:edge[-1]], runs
 
 
-def _softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the logits of states ``s`` and its row sums; logits are kept
-    below overflow where weights let them come near (states lie in [-1, 1])."""
+def _tame(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether logits of ``w`` (..., hidden, words) and ``b`` stay below
+    overflow, whatever the state (states lie in [-1, 1])."""
+    return np.abs(w).sum(axis=-2).max(axis=-1) + b.max(axis=-1) <= 80.0
+
+
+def _softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits of states ``s`` and its row sums; logits that are
+    not ``tame`` are kept below overflow."""
     x = s @ w
     x += b
-    if np.abs(w).sum(axis=0).max() + b.max() > 80.0:
+    if not tame:
         np.minimum(x, 80.0, out=x)
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], np.float32)
 
 
-def _softmax_gradient(s, w, b, target, n):
-    """Gradients by weights, biases and states of the mean over ``n`` tokens
-    of the log loss of ``target``."""
-    d, sums = _softmax(s, w, b)
-    d[np.arange(len(s)), target] -= sums
-    scale = (1.0 / (n * sums))[:, None]
-    return (s * scale).T @ d, (scale.T @ d)[0], (d @ w.T) * scale
+def _log_softmax(s, w, b, target, tame) -> np.ndarray:
+    """Log probability of ``target``."""
+    out = np.empty(len(s), np.float32)
+    for i in range(0, len(s), _BLOCK):
+        e, sums = _softmax(s[i:i + _BLOCK], w, b, tame)
+        out[i:i + _BLOCK] = e[_COUNT[:len(e)], target[i:i + _BLOCK]] / sums
+    out += 1e-30
+    return np.log(out, out=out)
+
+
+def _softmax_gradient(s, w, b, target, n, tame, ds):
+    """Gradients by weights (transposed) and biases of the mean over ``n``
+    tokens of the log loss of ``target``; that by states goes to ``ds``."""
+    dw, db = np.zeros(w.shape[::-1], np.float32), np.zeros(len(b), np.float32)
+    for i in range(0, len(s), _BLOCK):
+        part = s[i:i + _BLOCK]
+        d, sums = _softmax(part, w, b, tame)
+        d[_COUNT[:len(d)], target[i:i + _BLOCK]] -= sums
+        scale = 1.0 / (n * sums)
+        scaled = scale[:, None]
+        dw += d.T @ (part * scaled)
+        db += scale @ d
+        np.multiply(d @ w.T, scaled, out=ds[i:i + _BLOCK])
+    return dw, db
 
 
 def _windows(start, total, steps, longest=128):
@@ -143,22 +170,28 @@ def _windows(start, total, steps, longest=128):
         t0 += n
 
 
+def _valid(at, ok, s):
+    """Places and states of the valid steps, flat."""
+    return (at.ravel(), s.reshape(-1, s.shape[2])) if ok.all() else (at[ok], s[ok])
+
+
 def score(p, symbols, cls, word, first, start, total, steps=32) -> np.ndarray:
     """Natural-log probability of each token (flat, in lane order)."""
     groups, hid = len(p["Wo"]), p["U"].shape[0]
     out = np.zeros(len(symbols), np.float32)
     h = np.zeros((len(total), hid), np.float32)
+    by_state = p["Wo"].transpose(0, 2, 1)
+    tame, words_tame = _tame(p["Wc"], p["bc"]), _tame(by_state, p["bo"])
     for at, ok, live in _windows(start, total, steps):
         s, h, _ = _run(p, symbols[at], (~first[at]).astype(np.float32), h[:live], False)
-        places, s = at[ok], s[ok]
+        places, s = _valid(at, ok, s)
         c = cls[places]
-        e, total_e = _softmax(s, p["Wc"], p["bc"])
-        lp = np.log(e[np.arange(len(c)), c] / total_e + 1e-30)
+        lp = _log_softmax(s, p["Wc"], p["bc"], c, tame)
         order, runs = _by_class(c, groups)
-        s, w = s[order], word[places[order]]
+        s, w, near = s[order], word[places[order]], np.empty(len(order), np.float32)
         for k, lo, hi in runs:
-            e, total_e = _softmax(s[lo:hi], p["Wo"][k].T, p["bo"][k])
-            lp[order[lo:hi]] += np.log(e[np.arange(hi - lo), w[lo:hi]] / total_e + 1e-30)
+            near[lo:hi] = _log_softmax(s[lo:hi], by_state[k], p["bo"][k], w[lo:hi], words_tame[k])
+        lp[order] += near
         out[places] = lp
     return out
 
@@ -167,51 +200,67 @@ def train(p, symbols, cls, word, first, start, total, adam, rate, steps=16, clip
     """One pass of truncated backpropagation; changes ``p`` and ``adam``."""
     groups, hid = len(p["Wo"]), p["U"].shape[0]
     h = np.zeros((len(total), hid), np.float32)
+    thrice = np.tile(np.eye(hid, dtype=np.float32), 3)
     for at, ok, live in _windows(start, total, steps):
         ids, keep = symbols[at], (~first[at]).astype(np.float32)
         s, h, saved = _run(p, ids, keep, h[:live], True)
-        flat, places = s[ok], at[ok]
+        places, flat = _valid(at, ok, s)
         c, n = cls[places], len(places)
         g = {k: np.zeros_like(v) for k, v in p.items() if k in ("Wo", "bo")}
-        g["Wc"], g["bc"], ds = _softmax_gradient(flat, p["Wc"], p["bc"], c, n)
+        ds = np.empty_like(flat)
+        by_class, g["bc"] = _softmax_gradient(flat, p["Wc"], p["bc"], c, n, _tame(p["Wc"], p["bc"]), ds)
+        g["Wc"] = by_class.T
         order, runs = _by_class(c, groups)
         near, w, dn = flat[order], word[places[order]], np.empty((len(order), hid), np.float32)
+        by_state = p["Wo"].transpose(0, 2, 1)
+        tame = _tame(by_state, p["bo"])
         for k, lo, hi in runs:
-            by_word, g["bo"][k], dn[lo:hi] = _softmax_gradient(near[lo:hi], p["Wo"][k].T, p["bo"][k], w[lo:hi], n)
-            g["Wo"][k] = by_word.T
+            g["Wo"][k], g["bo"][k] = _softmax_gradient(near[lo:hi], by_state[k], p["bo"][k], w[lo:hi], n, tame[k], dn[lo:hi])
         ds[order] += dn
-        back = np.zeros_like(s)
-        back[ok] = ds
-        before, gates, new, last = saved
-        z, r = gates[..., :hid], gates[..., hid:]
+        if len(ds) == ok.size:
+            back = ds.reshape(s.shape)
+        else:
+            back = np.zeros_like(s)
+            back[ok] = ds
+        before, (z, r), new, last = saved
         # what the loss by a state is multiplied with on its way to each input
-        to_new = (1.0 - z) * (1.0 - new * new)
-        to_z = (before - new) * z * (1.0 - z)
-        to_r = to_new * last * r * (1.0 - r)
-        by = np.concatenate([to_z, to_r, to_new], axis=2)
-        dx = np.empty(ids.shape + (3 * hid,), np.float32)
-        du = np.empty_like(dx)
+        by = np.empty(ids.shape + (3 * hid,), np.float32)
+        rest, to_new = 1.0 - z, new * new
+        np.subtract(1.0, to_new, out=to_new)
+        to_new *= rest
+        to_z = before - new
+        to_z *= z
+        np.multiply(to_z, rest, out=by[..., :hid])
+        last *= to_new
+        last *= r
+        np.subtract(1.0, r, out=rest)
+        np.multiply(last, rest, out=by[..., hid:2 * hid])
+        by_u = by.copy()  # and to the recurrent input
+        by[..., 2 * hid:] = to_new
+        np.multiply(to_new, r, out=by_u[..., 2 * hid:])
+        dx = np.empty_like(by)
+        du = np.empty_like(by)
         dh, back_u, whole = np.zeros((live, hid), np.float32), p["U"].T.copy(), keep.all(axis=1)
         for t in range(len(ids) - 1, -1, -1):
             dh += back[t]
-            np.multiply(by[t].reshape(live, 3, hid), dh[:, None, :], out=dx[t].reshape(live, 3, hid))
-            du[t] = dx[t]
-            du[t, :, 2 * hid:] *= r[t]
+            np.matmul(dh, thrice, out=dx[t])
+            np.multiply(by_u[t], dx[t], out=du[t])
             dh *= z[t]
             dh += du[t] @ back_u
             if not whole[t]:
                 dh *= keep[t][:, None]
+        dx *= by
         dx, du = dx.reshape(-1, 3 * hid), du.reshape(-1, 3 * hid)
         g["U"] = before.reshape(-1, hid).T @ du
-        g["b"] = dx.sum(axis=0)
-        # gradients of the projected embeddings, summed by symbol
+        g["b"] = np.ones(len(dx), np.float32) @ dx
+        # gradients of the embeddings, summed by symbol
         flat_ids = ids.ravel()
+        g["Wx"] = p["emb"].take(flat_ids, axis=0).T @ dx
         order = np.argsort(flat_ids, kind="stable")
-        seen, at0 = np.unique(flat_ids[order], return_index=True)
-        summed = np.zeros((len(p["emb"]), 3 * hid), np.float32)
-        summed[seen] = np.add.reduceat(dx[order], at0, axis=0)
-        g["Wx"] = p["emb"].T @ summed
-        g["emb"] = summed @ p["Wx"].T
+        ids_in_order = flat_ids[order]
+        at0 = np.flatnonzero(np.r_[True, ids_in_order[1:] != ids_in_order[:-1]])
+        g["emb"] = np.zeros_like(p["emb"])
+        g["emb"][ids_in_order[at0]] = np.add.reduceat((dx @ p["Wx"].T).take(order, axis=0), at0, axis=0)
         norm = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
         # a window of few tokens (the end of the longest lanes) takes a small step
         _adam(p, g, adam, rate * min(1.0, 2 * n / (len(total) * steps)), min(1.0, clip / (norm + 1e-12)))

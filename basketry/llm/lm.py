@@ -16,18 +16,19 @@ Words: the ``known`` most frequent (bounded) travel to the tasks with their
 counts; all others are looked up by a join on the word, so no table that
 grows with the corpus is broadcast.  Every text is split into words once for
 the counts and once into a table of word numbers, which training and scoring
-read.
+read.  Splitting, counting and numbering work on Arrow arrays: no word becomes
+a Python object in a task.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ from basketry.session import stage
 
 GROUPS, SIZE = 32, 32        # frequency bands and words in each
 TAILS = 31                   # classes of all other words
-KNOWN = 65_536               # words sent to the tasks
+KNOWN = 262_144              # words sent to the tasks
 COUNTED = 400_000            # words a task counts before it hands the counts on
+PIECE = 1 << 24              # bytes of text split at a time (one longer text alone)
 EMBED = HIDDEN = 12
 ROUNDS = 2
 LANES, STEPS = 320, 24
@@ -60,8 +62,14 @@ def tail_of(word: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(word, -2, 2)), F.lit(TAILS)).cast("int")
 
 
-def _tail(word: bytes) -> int:
-    return _tail_of_end(word[-8:])  # holds the last two characters
+def _tails(words: pa.Array) -> np.ndarray:
+    """``tail_of`` of binary ``words``, worked out once per ending."""
+    if not len(words):
+        return np.empty(0, np.int32)
+    two = pc.binary_slice(words, -2)
+    plain = pc.string_is_ascii(_as_string(two))
+    ends = pc.if_else(plain, two, pc.binary_slice(words, -8)).dictionary_encode()  # 8 bytes hold two characters
+    return np.array([_tail_of_end(e) for e in ends.dictionary.to_pylist()], np.int32)[ends.indices.to_numpy()]
 
 
 @lru_cache(maxsize=100_000)
@@ -71,39 +79,63 @@ def _tail_of_end(end: bytes) -> int:
     return (h - (1 << 64) if h >> 63 else h) % TAILS
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text", rows: int = 500) -> Iterator[list[bytes]]:
-    column = batch.column(name)
-    for at in range(0, len(column), rows):
-        yield column.slice(at, rows).to_pylist()
+def _as_string(a: pa.Array) -> pa.Array:
+    """Binary read as text, unchecked: the ASCII functions leave other bytes alone."""
+    large = pa.types.is_large_binary(a.type)
+    return pa.Array.from_buffers(pa.large_string() if large else pa.string(), len(a), a.buffers(), a.null_count, a.offset)
+
+
+def _as_binary(a: pa.Array) -> pa.Array:
+    return a.cast(pa.large_binary() if pa.types.is_large_string(a.type) else pa.binary())
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``PIECE`` bytes of text."""
+    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of binary ``texts``, one after the other, and
+    the number of words of each text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(_as_string(texts)))
+    words, edges = split.values, split.offsets.to_numpy()
+    kept = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # a space at either end leaves an empty word
+    words = words.slice(edges[0], edges[-1] - edges[0])
+    kept = kept[edges[0]:edges[-1]]
+    before = np.r_[0, np.cumsum(kept)]
+    return _as_binary(words if kept.all() else words.filter(pa.array(kept))), np.diff(before[edges - edges[0]])
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(w, c): counts of words and ends in all of ``docs``.  Tasks count what
     they read and hand counts on whenever they hold ``COUNTED`` words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ends = Counter(), 0
+        held, ends = None, 0
         for b in batches:
-            for texts in _texts(b):
-                for t in texts:
-                    held.update(t.lower().split())
-                    if len(held) >= COUNTED:
-                        yield from _counted(held)
-                        held = Counter()
-                ends += len(texts)
-        held[END.encode()] += ends
-        yield from _counted(held)
+            for piece in _pieces(b):
+                counted = pc.value_counts(_split(piece.column("text"))[0])
+                new = pa.table({"w": counted.field(0), "c": counted.field(1)})
+                if held is not None:
+                    new = pa.concat_tables([held, new]).group_by("w", use_threads=False).aggregate([("c", "sum")])
+                    new = new.rename_columns({"c_sum": "c"}).select(["w", "c"])
+                held = new
+                if len(held) >= COUNTED:
+                    yield from held.combine_chunks().to_batches(50_000)
+                    held = None
+            ends += b.num_rows
+        if held is not None:
+            yield from held.combine_chunks().to_batches(50_000)
+        yield pa.RecordBatch.from_arrays([pa.array([END.encode()], pa.binary()), pa.array([ends], pa.int64())], ["w", "c"])
 
     made = docs.select(whole(F.col(text_col)).cast("binary").alias("text")).mapInArrow(run, "w binary, c long")
     return made.groupBy(F.col("w").cast("string").alias("w")).agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def _counted(held: Counter, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    words, counts = list(held.keys()), list(held.values())
-    for at in range(0, len(words), rows):
-        yield pa.RecordBatch.from_arrays([pa.array(words[at:at + rows], pa.binary()), pa.array(counts[at:at + rows], pa.int64())], ["w", "c"])
-
-
-def _most_frequent(counts: DataFrame, most: int) -> list:
+def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
     """The words of the highest counts, at most ``most``: a cut between
     steps of the count's logarithm, so no sort of all words is needed and
     only the chosen rows come to the driver."""
@@ -114,7 +146,8 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
         if total > most:
             break
         cut = r["s"]
-    return [] if cut is None else counts.filter(step >= cut).collect()
+    top = counts.filter(F.lit(False) if cut is None else step >= cut).select(F.col("w").cast("binary").alias("w"), "c").toArrow()
+    return top.sort_by([("c", "descending"), ("w", "ascending")])
 
 
 class Vocabulary:
@@ -123,21 +156,21 @@ class Vocabulary:
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.n, self.v = int(total[0]), int(total[1])
-        top = sorted(_most_frequent(counts.filter(F.col("w") != END), KNOWN), key=lambda r: (-r["c"], r["w"]))
+        top = _most_frequent(counts.filter(F.col("w") != END), KNOWN)
         ends = counts.filter(F.col("w") == END).first()
         self.ends = int(ends["c"]) if ends else 0
-        self.words = [r["w"].encode("utf-8") for r in top]
-        self.counts = np.array([r["c"] for r in top], np.float64)
+        self.words = top.column("w").combine_chunks()
+        self.counts = top.column("c").to_numpy().astype(np.float64)
         tails = np.zeros((TAILS, 2))
         for r in counts.filter(F.col("w") != END).groupBy(tail_of(F.col("w")).alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
             tails[r["t"]] = r["c"], r["v"]
-        self.tail = np.array([_tail(w) for w in self.words], np.int32)
+        self.tail = _tails(self.words)
         for t, c in zip(self.tail[:_WORDS], self.counts[:_WORDS]):  # words of the bands are in no other class
             tails[t] -= c, 1
         self.tail_totals = tails
         j = np.arange(len(self.words))
-        self.symbol = np.where(j < _WORDS, j, _WORDS + self.tail).astype(np.int32)
-        self.cls = np.where(j < _WORDS, j // SIZE, GROUPS + 1 + self.tail).astype(np.int32)
+        self.symbol = np.where(j < _WORDS, j, _WORDS + self.tail).astype(np.int16)  # sorted faster than wider numbers
+        self.cls = np.where(j < _WORDS, j // SIZE, GROUPS + 1 + self.tail).astype(np.int16)
         below = np.log10((self.counts + 0.1) / (tails[self.tail, 0] + 0.1 * (tails[self.tail, 1] + 1)))
         self.within = np.where(j < _WORDS, 0.0, below)
         self.base = np.log10(self.counts + 0.1)
@@ -151,52 +184,28 @@ class Vocabulary:
         return np.log((cls + 0.5) / (cls.sum() + 0.5 * _CLASSES)), np.log((band + 0.1) / (band + 0.1).sum(axis=1, keepdims=True))
 
 
-_index: dict = {}
-
-
-def _lookup(shared) -> tuple[dict[bytes, int], Vocabulary]:
-    """The vocabulary and its word numbers, made once per Python worker."""
-    if _index.get("of") != shared.id:
-        v = shared.value
-        _index.update(of=shared.id, words={w: j for j, w in enumerate(v.words)}, v=v)
-    return _index["words"], _index["v"]
-
-
-class _Shared:
-    """A broadcast with a name that tells one fit from another."""
-
-    def __init__(self, spark, value):
-        import uuid
-        self.id, self._b = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
-
-    @property
-    def value(self):
-        return self._b.value
-
-
-def coded(rows: DataFrame, shared: _Shared) -> DataFrame:
+def coded(rows: DataFrame, shared: Broadcast) -> DataFrame:
     """(id, held_out, codes, rare) of ``rows(id, held_out, text)``: the word
     numbers of each text and its words that have none, joined by a space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, _ = _lookup(shared)
+        known = shared.value.words
         for b in batches:
-            at = 0
-            for texts in _texts(b):
-                split = [t.lower().split() for t in texts]
-                edges = np.r_[0, np.cumsum([len(w) + 1 for w in split])]
-                flat = list(chain.from_iterable(chain(w, (None,)) for w in split))
-                codes = np.fromiter(map(numbers.get, flat, repeat(_RARE)), np.int32, len(flat))
-                codes[edges[1:] - 1] = _LAST
-                places = np.flatnonzero(codes == _RARE)
-                words = [flat[k] for k in places.tolist()]
-                codes[places] -= np.fromiter(map(_tail, words), np.int32, len(words))
-                left = np.searchsorted(places, edges)
+            for piece in _pieces(b):
+                words, lengths = _split(piece.column("text"))
+                numbers = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), _RARE).to_numpy(zero_copy_only=False).astype(np.int32)
+                rare = np.flatnonzero(numbers == _RARE)
+                others = words.take(pa.array(rare))
+                numbers[rare] -= _tails(others)
+                edges = np.r_[0, np.cumsum(lengths + 1)]
+                codes = np.full(edges[-1], _LAST, np.int32)
+                inside = np.ones(len(codes), bool)
+                inside[edges[1:] - 1] = False
+                codes[inside] = numbers
+                left = np.searchsorted(rare, np.r_[0, np.cumsum(lengths)])
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), others), pa.scalar(b" ", words.type))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(at, len(texts)), b.column("held_out").slice(at, len(texts)),
-                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(codes)),
-                     pa.array([b" ".join(words[i:j]) for i, j in zip(left[:-1], left[1:])], pa.binary())],
-                    ["id", "held_out", "codes", "rare"])
-                at += len(texts)
+                    [piece.column("id"), piece.column("held_out"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(codes)),
+                     joined], ["id", "held_out", "codes", "rare"])
 
     made = rows.select("id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(
         run, "id long, held_out boolean, codes array<int>, rare binary")
@@ -216,11 +225,11 @@ class _Coded:
         if len(v.words):
             symbol, self.cls = v.symbol[j], v.cls[j]
         else:
-            symbol, self.cls = np.zeros(len(j), np.int32), np.zeros(len(j), np.int32)
+            symbol, self.cls = np.zeros(len(j), np.int16), np.zeros(len(j), np.int16)
         symbol[rare], self.cls[rare] = _WORDS + tails, GROUPS + 1 + tails
         self.cls[ends] = _END_CLASS
         self.word = j % SIZE
-        self.symbol = np.r_[_START, symbol[:-1]].astype(np.int32) if len(symbol) else symbol
+        self.symbol = np.r_[_START, symbol[:-1]].astype(np.int16) if len(symbol) else symbol
         self.symbol[firsts] = _START
         self.first = np.zeros(len(j), bool)
         self.first[firsts] = True
@@ -258,7 +267,7 @@ def _chunk(held: list[pa.RecordBatch], v: Vocabulary) -> tuple[_Coded, pa.Table]
     return _Coded(lengths, np.concatenate([np.asarray(c.flatten()) for c in lists]), v), table
 
 
-def fit(train: DataFrame, shared: _Shared, vocabulary: Vocabulary, key_col: str = "id", rounds: int = ROUNDS,
+def fit(train: DataFrame, shared: Broadcast, vocabulary: Vocabulary, key_col: str = "id", rounds: int = ROUNDS,
         rate: float = 0.015) -> np.ndarray:
     """Weights after ``rounds`` rounds over ``train`` (``coded``); each
     document is learnt from in one of them, chosen by a hash of its key."""
@@ -267,7 +276,7 @@ def fit(train: DataFrame, shared: _Shared, vocabulary: Vocabulary, key_col: str
         sent, speed = train.sparkSession.sparkContext.broadcast(weights), rate * 0.5 ** k
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, speed=speed) -> Iterator[pa.RecordBatch]:
-            _, v = _lookup(shared)
+            v = shared.value
             p, adam, tokens = gru.unpack(sent.value, SIZES), {}, 0
             for c, _ in _chunks(batches, v):
                 gru.train(p, *c.in_lanes()[1], adam, speed, STEPS)
@@ -302,12 +311,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        held_out(F.col(id_col)).alias("held_out"))
     counts = stage(word_counts(rows.filter(~F.col("held_out"))), "counts")
     vocabulary = Vocabulary(counts)
-    shared = _Shared(spark, vocabulary)
+    shared = spark.sparkContext.broadcast(vocabulary)
     numbered = stage(coded(rows, shared).withColumn("rid", F.monotonically_increasing_id()), "coded")
     weights = spark.sparkContext.broadcast(fit(numbered.filter(~F.col("held_out")), shared, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, v = _lookup(shared)
+        v = shared.value
         p = gru.unpack(weights.value, SIZES)
         for c, table in _chunks(batches, v):
             place, flat = c.in_lanes()
@@ -328,12 +337,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first = stage(numbered.select("rid", "id", "held_out", "codes").mapInArrow(
         run, "rid long, id long, held_out boolean, n_tokens long, n_known long, base double, model double"), "scored")
     totals = F.array(*(F.lit(float(c + 0.1 * (v + 1))) for c, v in vocabulary.tail_totals))
-    rare = numbered.filter("rare <> ''").select("rid", F.explode(F.split("rare", " ")).alias("w")).groupBy("w", "rid").agg(F.count("*").alias("k"))
+    rare = numbered.filter("rare <> ''").select("rid", F.explode(F.split("rare", " ")).alias("w"))
     found = rare.join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = found.groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"),
-        F.sum(F.col("k") * F.log10(F.col("c") + 0.1)).alias("base2"),
-        F.sum(F.col("k") * F.log10((F.col("c") + 0.1) / F.get(totals, tail_of(F.col("w"))))).alias("model2"))
+        F.count_if(F.col("c") > 0).alias("known2"),
+        F.sum(F.log10(F.col("c") + 0.1)).alias("base2"),
+        F.sum(F.log10((F.col("c") + 0.1) / F.get(totals, tail_of(F.col("w"))))).alias("model2"))
     out = first.join(more, "rid", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select("id", "held_out", "n_tokens", add("n_known", "known2").alias("n_known"),

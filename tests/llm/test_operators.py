@@ -56,6 +56,97 @@ def test_lm_state_runs_through_and_sums_to_one():
     assert np.allclose(total_p, 1, atol=1e-4)
 
 
+def test_lm_splits_as_bytes_do():
+    """Words, counts per text and classes of Arrow arrays, as plain Python has them."""
+    import pyarrow as pa
+    texts = [b"q q", b" A  B\x0b\x1cx\x85\xc3\xa9 \r\n", b"", b" \t\x0c ", b"\xff\xfe a\x00b", "Zürich é né 日本語 ÀB".encode(), b"z" * 40]
+    for lo, hi in ((0, 7), (1, 4), (2, 4), (4, 7), (3, 3)):
+        words, n = lm._split(pa.array(texts, pa.binary()).slice(lo, hi - lo))
+        want = [t.lower().split() for t in texts[lo:hi]]
+        assert words.to_pylist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+        assert lm._tails(words).tolist() == [lm._tail_of_end(w[-8:]) for w in words.to_pylist()]
+    keep, lm.PIECE = lm.PIECE, 12
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"]).slice(1)
+        pieces = [p.column("text").to_pylist() for p in lm._pieces(batch)]
+    finally:
+        lm.PIECE = keep
+    assert sum(pieces, []) == texts[1:] and len(pieces) > 2 and all(len(p) == 1 or sum(map(len, p)) <= 12 for p in pieces)
+
+
+def test_lm_tails_in_tasks_and_in_spark_agree(spark):
+    import pyarrow as pa
+    words = ["a", "ab", "abc", "é", "né", "aé", "日本語", "本", "x\x1c", "z" * 40]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lm.tail_of(F.col("w")).alias("t")).collect()
+    assert lm._tails(pa.array([r["w"].encode() for r in rows], pa.binary())).tolist() == [r["t"] for r in rows]
+
+
+def _lm_words(n, often, once):
+    """(rows, often + once words): ``often`` words four times, the others once."""
+    ws = [f"w{k:05d}" for k in range(often)] * 4 + [f"r{k:05d}" for k in range(once)]
+    random.Random(3).shuffle(ws)
+    return [(10 * k, " ".join(ws[k::n])) for k in range(n)]
+
+
+def test_lm_words_of_a_middling_corpus_are_numbered_in_the_tasks(spark):
+    """75,000 words, none of which needs the join on the word."""
+    rows = [(i, t) for i, t in _lm_words(40, 25_000, 50_000)]
+    docs = table(spark, rows).select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held_out"))
+    v = lm.Vocabulary(lm.word_counts(docs))
+    assert len(v.words) == v.v - 1 == 75_000
+    out = lm.coded(docs, spark.sparkContext.broadcast(v)).collect()
+    assert {r["id"]: [v.words[c].as_py().decode() if c >= 0 else None for c in r["codes"]] for r in out} == {i: t.split() + [None] for i, t in rows}
+    assert {r["rare"] for r in out} == {""}
+
+
+def test_lm_joined_words_score_as_known_ones(spark):
+    """How many words travel to the tasks changes no result; edge rows too."""
+    rows = _lm_words(30, 1_050, 900) + edge_rows() + [(10 * k + 1, f"new{k} w00001 r00001 new{k}") for k in range(60)]
+    docs = table(spark, rows).repartition(2, "text")
+    got, keep = [], lm.KNOWN
+    try:
+        for lm.KNOWN in (keep, 1_800):
+            got.append(sorted(lm.score(docs).collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["n_tokens"], r["score"])))
+    finally:
+        lm.KNOWN = keep
+    tokens = [((t or "").encode().lower().split() + [b""], i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, t in rows]
+    c = Counter(w for ws, out in tokens if not out for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted((len(ws), out, sum(c[w] > 0 for w in ws), sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for ws, out in tokens)
+    for g in got:
+        have = sorted((r["n_tokens"], r["held_out"], r["n_known"], r["base_score"]) for r in g)
+        assert [h[:3] for h in have] == [w[:3] for w in want]
+        assert [h[3] for h in have] == pytest.approx([w[3] for w in want], rel=1e-9)
+    for a, b in zip(*got):
+        assert (a["id"], a["n_tokens"]) == (b["id"], b["n_tokens"]) and a["score"] == pytest.approx(b["score"], rel=1e-4)
+
+
+def test_gru_blocks_change_nothing():
+    """Scores and gradients of tokens taken few at a time, masked lanes included."""
+    import numpy as np
+    r = np.random.default_rng(7)
+    sizes = gru.shapes(9, 5, 2, 3, 4, 4)
+    p = gru.initial(sizes, 1, np.zeros(5), np.zeros((2, 3)))
+    lengths = r.integers(1, 9, 20)
+    docs, start, total = gru.lanes(lengths, 6)
+    n = int(lengths.sum())
+    first = np.zeros(n, bool)
+    first[np.r_[0, np.cumsum(lengths[docs])[:-1]]] = True
+    args = (r.integers(0, 9, n).astype(np.int16), r.integers(0, 5, n).astype(np.int16), r.integers(0, 3, n), first, start, total)
+    found, keep = [], (gru._BLOCK, gru._adam)
+    try:
+        for gru._BLOCK in (keep[0], 4):
+            grads = []
+            gru._adam = lambda p_, g, state, rate, scale, grads=grads: grads.append(g)
+            gru.train(p, *args, {}, 0.1, steps=8)
+            found.append((grads, gru.score(p, *args, steps=8)))
+    finally:
+        gru._BLOCK, gru._adam = keep
+    assert np.allclose(found[0][1], found[1][1], atol=1e-5)
+    for a, b in zip(found[0][0], found[1][0], strict=True):
+        assert all(np.allclose(a[k], b[k], atol=1e-5) for k in sizes)
+
+
 def test_gru_gradient():
     """One plain step along the gradient lowers the loss as it predicts."""
     import numpy as np
