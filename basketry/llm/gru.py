@@ -17,7 +17,7 @@ import heapq
 import numpy as np
 
 _BLOCK = 1024  # tokens whose logits are worked on at a time, so that they stay in the cache
-_COUNT = np.arange(_BLOCK)
+_COUNT = np.arange(2 * _BLOCK)
 
 
 def shapes(symbols: int, classes: int, groups: int, size: int, embed: int, hidden: int) -> dict[str, tuple]:
@@ -119,10 +119,10 @@ def _tame(w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(w).sum(axis=-2).max(axis=-1) + b.max(axis=-1) <= 80.0
 
 
-def _softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
+def _softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray, tame: bool, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """exp of the logits of states ``s`` and its row sums; logits that are
     not ``tame`` are kept below overflow."""
-    x = s @ w
+    x = np.matmul(s, w, out=out)
     x += b
     if not tame:
         np.minimum(x, 80.0, out=x)
@@ -130,30 +130,34 @@ def _softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray, tame: bool) -> tuple[n
     return x, x @ np.ones(x.shape[1], np.float32)
 
 
+def _blocks(n: int) -> list[slice]:
+    """``n`` tokens in blocks; the last takes what is left over as well (a
+    product of very few rows is summed in another order)."""
+    edges = [*range(0, max(n // _BLOCK, 1) * _BLOCK, _BLOCK), n]
+    return [slice(i, j) for i, j in zip(edges[:-1], edges[1:])]
+
+
 def _log_softmax(s, w, b, target, tame) -> np.ndarray:
     """Log probability of ``target``."""
     out = np.empty(len(s), np.float32)
-    for i in range(0, len(s), _BLOCK):
-        e, sums = _softmax(s[i:i + _BLOCK], w, b, tame)
-        out[i:i + _BLOCK] = e[_COUNT[:len(e)], target[i:i + _BLOCK]] / sums
+    for rows in _blocks(len(s)):
+        e, sums = _softmax(s[rows], w, b, tame)
+        out[rows] = e[_COUNT[:len(e)], target[rows]] / sums
     out += 1e-30
     return np.log(out, out=out)
 
 
 def _softmax_gradient(s, w, b, target, n, tame, ds):
-    """Gradients by weights (transposed) and biases of the mean over ``n``
-    tokens of the log loss of ``target``; that by states goes to ``ds``."""
-    dw, db = np.zeros(w.shape[::-1], np.float32), np.zeros(len(b), np.float32)
-    for i in range(0, len(s), _BLOCK):
-        part = s[i:i + _BLOCK]
-        d, sums = _softmax(part, w, b, tame)
-        d[_COUNT[:len(d)], target[i:i + _BLOCK]] -= sums
-        scale = 1.0 / (n * sums)
-        scaled = scale[:, None]
-        dw += d.T @ (part * scaled)
-        db += scale @ d
-        np.multiply(d @ w.T, scaled, out=ds[i:i + _BLOCK])
-    return dw, db
+    """Gradients by weights and biases of the mean over ``n`` tokens of the
+    log loss of ``target``; that by states goes to ``ds``."""
+    d, scale = np.empty((len(s), len(b)), np.float32), np.empty((len(s), 1), np.float32)
+    for rows in _blocks(len(s)):
+        part = d[rows]
+        _, sums = _softmax(s[rows], w, b, tame, part)
+        part[_COUNT[:len(part)], target[rows]] -= sums
+        np.divide(1.0, n * sums, out=scale[rows, 0])
+        np.multiply(part @ w.T, scale[rows], out=ds[rows])
+    return (s * scale).T @ d, (scale.T @ d)[0]
 
 
 def _windows(start, total, steps, longest=128):
@@ -208,14 +212,14 @@ def train(p, symbols, cls, word, first, start, total, adam, rate, steps=16, clip
         c, n = cls[places], len(places)
         g = {k: np.zeros_like(v) for k, v in p.items() if k in ("Wo", "bo")}
         ds = np.empty_like(flat)
-        by_class, g["bc"] = _softmax_gradient(flat, p["Wc"], p["bc"], c, n, _tame(p["Wc"], p["bc"]), ds)
-        g["Wc"] = by_class.T
+        g["Wc"], g["bc"] = _softmax_gradient(flat, p["Wc"], p["bc"], c, n, _tame(p["Wc"], p["bc"]), ds)
         order, runs = _by_class(c, groups)
         near, w, dn = flat[order], word[places[order]], np.empty((len(order), hid), np.float32)
         by_state = p["Wo"].transpose(0, 2, 1)
         tame = _tame(by_state, p["bo"])
         for k, lo, hi in runs:
-            g["Wo"][k], g["bo"][k] = _softmax_gradient(near[lo:hi], by_state[k], p["bo"][k], w[lo:hi], n, tame[k], dn[lo:hi])
+            by_word, g["bo"][k] = _softmax_gradient(near[lo:hi], by_state[k], p["bo"][k], w[lo:hi], n, tame[k], dn[lo:hi])
+            g["Wo"][k] = by_word.T
         ds[order] += dn
         if len(ds) == ok.size:
             back = ds.reshape(s.shape)
@@ -235,32 +239,33 @@ def train(p, symbols, cls, word, first, start, total, adam, rate, steps=16, clip
         last *= r
         np.subtract(1.0, r, out=rest)
         np.multiply(last, rest, out=by[..., hid:2 * hid])
-        by_u = by.copy()  # and to the recurrent input
         by[..., 2 * hid:] = to_new
-        np.multiply(to_new, r, out=by_u[..., 2 * hid:])
+        to_u = np.ones_like(by)  # and from there to the recurrent input
+        to_u[..., 2 * hid:] = r
         dx = np.empty_like(by)
         du = np.empty_like(by)
         dh, back_u, whole = np.zeros((live, hid), np.float32), p["U"].T.copy(), keep.all(axis=1)
         for t in range(len(ids) - 1, -1, -1):
             dh += back[t]
             np.matmul(dh, thrice, out=dx[t])
-            np.multiply(by_u[t], dx[t], out=du[t])
+            dx[t] *= by[t]
+            np.multiply(dx[t], to_u[t], out=du[t])
             dh *= z[t]
             dh += du[t] @ back_u
             if not whole[t]:
                 dh *= keep[t][:, None]
-        dx *= by
         dx, du = dx.reshape(-1, 3 * hid), du.reshape(-1, 3 * hid)
         g["U"] = before.reshape(-1, hid).T @ du
-        g["b"] = np.ones(len(dx), np.float32) @ dx
-        # gradients of the embeddings, summed by symbol
+        g["b"] = dx.sum(axis=0)
+        # gradients of the projected embeddings, summed by symbol
         flat_ids = ids.ravel()
-        g["Wx"] = p["emb"].take(flat_ids, axis=0).T @ dx
         order = np.argsort(flat_ids, kind="stable")
-        ids_in_order = flat_ids[order]
-        at0 = np.flatnonzero(np.r_[True, ids_in_order[1:] != ids_in_order[:-1]])
-        g["emb"] = np.zeros_like(p["emb"])
-        g["emb"][ids_in_order[at0]] = np.add.reduceat((dx @ p["Wx"].T).take(order, axis=0), at0, axis=0)
+        in_order = flat_ids[order]
+        at0 = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+        summed = np.zeros((len(p["emb"]), 3 * hid), np.float32)
+        summed[in_order[at0]] = np.add.reduceat(dx.take(order, axis=0), at0, axis=0)
+        g["Wx"] = p["emb"].T @ summed
+        g["emb"] = summed @ p["Wx"].T
         norm = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
         # a window of few tokens (the end of the longest lanes) takes a small step
         _adam(p, g, adam, rate * min(1.0, 2 * n / (len(total) * steps)), min(1.0, clip / (norm + 1e-12)))
