@@ -278,6 +278,17 @@ def test_quality_without_labels(spark):
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [1]
 
 
+def test_quality_learns_from_every_label(spark):
+    """20,001 labelled documents, one of them trusted: it counts, whether the
+    labels travel or the texts do."""
+    docs = spark.range(20_050).selectExpr("id AS doc_id", "concat('tok', id, ' alpha beta') AS text")
+    last = docs.select("doc_id").filter("doc_id < 20001").orderBy(F.xxhash64("doc_id").desc(), F.desc("doc_id")).first()[0]
+    labels = spark.range(20_001).select(F.col("id").alias("doc_id"), (F.col("id") == last).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    models = [quality.fit(docs, labels, buckets=256, broadcast_rows=n) for n in (quality.BROADCAST_ROWS, 20_000)]
+    assert models[0] == models[1] and models[0]["buckets"] == 256 and len(set(models[0]["table"])) > 2
+    assert quality.label_table(labels).count() == 20_001
+
+
 # --- 4 chat
 
 def test_chat_trees(spark):
